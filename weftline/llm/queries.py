@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.mixing import mix_digest
+from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
+from weftline.llm.token_store import store_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +20,22 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"), 24)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(_read(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op3_packing": op3_packing,
+    "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
 }
 
