@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.mixing import mix_digest
 from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
+from weftline.llm.simhash import simhash_digest
 from weftline.llm.token_store import store_documents
 
 
@@ -32,11 +33,16 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(_read(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE: dict[str, str] = {}
