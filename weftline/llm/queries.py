@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.mixing import mix_digest
 from weftline.llm.packing import pack_documents
+from weftline.llm.quality import ORACLE_SQL as QUALITY_SQL
+from weftline.llm.quality import quality_digest
 from weftline.llm.sharding import shard_documents
 from weftline.llm.simhash import simhash_digest
 from weftline.llm.token_store import store_documents
@@ -37,12 +39,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_quality": QUALITY_SQL}
