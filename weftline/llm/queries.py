@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.line_dedup import line_digest
 from weftline.llm.mixing import mix_digest
 from weftline.llm.packing import pack_documents
 from weftline.llm.quality import ORACLE_SQL as QUALITY_SQL
@@ -31,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(_read(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,
