@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 #: Characters with the White_Space property; the tokenizers' ``\s``.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LEAD = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Pieces kept in a worker's memo, and the longest piece that is kept; more pieces start the memo anew.
-MEMO_PIECES, MEMO_CHARS = 300_000, 40
+#: Words kept in a worker's memo, and the longest word that is kept; more words start the memo anew.
+MEMO_WORDS, MEMO_CHARS = 600_000, 40
+#: Below this character (end of extended Latin) Unicode normal form C changes nothing and letters lower one by one.
+_PLAIN = "\u0250"
 
 _encoders: dict[int, Encoder] = {}
 
@@ -35,6 +38,13 @@ def encoder(content: str) -> Encoder:
     return _encoders[key]
 
 
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; strings of special tokens are ordinary text."""
 
@@ -43,41 +53,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.cut = self._layout(json.loads(content))
+        self.model = self.tokenizer.model
+        self.chars = _byte_chars()
+        self.layout = self._layout(json.loads(content))
         self.memo: dict = {}
+        self.stems: dict[str, bytes] = {}
 
     @staticmethod
-    def _layout(j: dict):
+    def _layout(j: dict) -> str | None:
+        """``joined``: a space goes with the word after it. ``dropped``: white space is dropped, text is lowered."""
         pre = j.get("pre_tokenizer") or {}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not j.get("normalizer"):
-            return _LEAD.findall
+            return "joined"
         parts = pre.get("pretokenizers") or [{}]
         drops = parts[0].get("behavior") == "Removed" and parts[0].get("invert") and parts[0].get("pattern", {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         steps = [n.get("type") for n in (j.get("normalizer") or {}).get("normalizers", [])]
-        if drops and steps == ["NFC", "Replace", "Lowercase"]:
-            return lambda text: text.encode().split()  # bytes split at ASCII white space only
-        return None
+        return "dropped" if drops and steps == ["NFC", "Replace", "Lowercase"] else None
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _stem(self, piece: str) -> bytes:
+        """Ids of one pre-token: merges only, without the costs of a whole encoding."""
+        code = self.stems.get(piece)
+        if code is None:
+            seen = piece if piece.isascii() and " " not in piece else piece.encode().decode("latin-1").translate(self.chars)
+            code = self.stems[piece] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return code
+
+    def _words(self, words: list) -> dict:
+        """Ids of each new word. A run of plain letters, maybe with a full stop or comma, needs no general pattern."""
+        out, odd = {}, []
+        lower = self.layout == "dropped"
+        for w in words:
+            s = w.decode().lower() if lower else w
+            bare = s if lower or s[0] != " " else s[1:]
+            if bare.isalpha() and max(bare) < _PLAIN:
+                out[w] = self._stem(s)
+            elif bare[-1:] in (".", ",") and bare[:-1].isalpha() and max(bare) < _PLAIN:
+                out[w] = self._stem(s[:-1]) + self._stem(s[-1])
+            else:
+                odd.append(w)
+        for i in range(0, len(odd), 4096):
+            part = odd[i : i + 4096]
+            out.update(zip(part, self._direct([w.decode() if lower else w for w in part]), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut is None:
+        if self.layout is None:
             return self._direct(texts)
-        cut = [self.cut(t) for t in texts]
-        new = set().union(*cut).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo = {}
-            new = set().union(*cut)
-        new = list(new)
-        once = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            once.update(zip(part, self._direct([p.decode() if isinstance(p, bytes) else p for p in part]), strict=True))
-        self.memo.update(once)
+        # Bytes are split at ASCII white space only.
+        cut = [t.encode().split() for t in texts] if self.layout == "dropped" else [_LEAD.findall(t) for t in texts]
+        here = set().union(*cut)
+        if len(self.memo) + len(here) > MEMO_WORDS:
+            self.memo, self.stems = {}, {}
+        new = here.difference(self.memo)
+        self.memo.update(self._words(list(new)))
         get = self.memo.__getitem__
         out = [b"".join(map(get, c)) for c in cut]
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del self.memo[p]
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del self.memo[w]
         return out
