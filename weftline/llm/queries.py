@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.line_dedup import line_digest
 from weftline.llm.mixing import mix_digest
 from weftline.llm.packing import pack_documents
+from weftline.llm.passage_dedup import passage_digest
 from weftline.llm.quality import ORACLE_SQL as QUALITY_SQL
 from weftline.llm.quality import quality_digest
 from weftline.llm.sharding import shard_documents
@@ -48,6 +49,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 ORACLE: dict[str, str] = {"op9_quality": QUALITY_SQL}
