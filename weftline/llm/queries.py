@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.llm.ann import nearest_neighbours
 from weftline.llm.line_dedup import line_digest
 from weftline.llm.mixing import mix_digest
 from weftline.llm.packing import pack_documents
@@ -25,6 +27,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"), 24)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(_read(spark, sf_dir, "documents"))
 
@@ -54,6 +60,7 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
