@@ -1,21 +1,20 @@
 """Token ids of whole texts by a public tokenizer file, with a memo of the pieces that it never merges across.
 
 Byte-pair merges stay inside a pre-token, so a text's ids are those of its pre-tokens in turn. Two layouts are known
-from the tokenizer's own file: one drops white space, and one joins a single space to the word after it. In both, a
-piece found once is encoded once per worker. Any other layout is encoded text by text.
+from the tokenizer's own file. Where white space is dropped, a word found once is encoded once per worker. Where bytes
+are merged in the order of their ids, a rank encoder over the same vocabulary gives the same ids for less. Any other
+layout is encoded text by text.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from array import array
 
 import numpy as np
 
-#: Characters with the White_Space property; the tokenizers' ``\s``.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LEAD = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: The pre-tokens of the byte-level layout, as the tokenizers library cuts them.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept in a worker's memo, and the longest word that is kept; more words start the memo anew.
 MEMO_WORDS, MEMO_CHARS = 600_000, 40
 #: Below this character (end of extended Latin) Unicode normal form C changes nothing and letters lower one by one.
@@ -45,6 +44,24 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _in_rank_order(model: dict) -> bool:
+    """Whether every merge makes the token of the next id, which is what a rank encoder takes for granted."""
+    vocab, ids = model["vocab"], []
+    for m in model["merges"]:
+        a, b = m if isinstance(m, list) else m.split(" ")
+        ids.append(vocab.get(a + b, -1))
+    return ids == sorted(ids) and len(set(ids)) == len(ids) and not model.get("end_of_word_suffix") and not model.get("ignore_merges")
+
+
+def _rank_encoder(parsed: dict, chars: dict[int, str]):
+    import tiktoken
+
+    special = {t["content"] for t in parsed.get("added_tokens", [])}
+    byte_of = {c: b for b, c in chars.items()}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; strings of special tokens are ordinary text."""
 
@@ -55,16 +72,18 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.chars = _byte_chars()
-        self.layout = self._layout(json.loads(content))
-        self.memo: dict = {}
+        parsed = json.loads(content)
+        self.layout = self._layout(parsed)
+        self.ranks = _rank_encoder(parsed, self.chars) if self.layout == "ranked" else None
+        self.memo: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
     @staticmethod
     def _layout(j: dict) -> str | None:
-        """``joined``: a space goes with the word after it. ``dropped``: white space is dropped, text is lowered."""
+        """``ranked``: byte-level, merges in order of ids. ``dropped``: white space is dropped, text is lowered."""
         pre = j.get("pre_tokenizer") or {}
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not j.get("normalizer"):
-            return "joined"
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not j.get("normalizer") and _in_rank_order(j["model"]):
+            return "ranked"
         parts = pre.get("pretokenizers") or [{}]
         drops = parts[0].get("behavior") == "Removed" and parts[0].get("invert") and parts[0].get("pattern", {}).get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         steps = [n.get("type") for n in (j.get("normalizer") or {}).get("normalizers", [])]
@@ -77,33 +96,32 @@ class Encoder:
         """Ids of one pre-token: merges only, without the costs of a whole encoding."""
         code = self.stems.get(piece)
         if code is None:
-            seen = piece if piece.isascii() and " " not in piece else piece.encode().decode("latin-1").translate(self.chars)
+            seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
             code = self.stems[piece] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
         return code
 
-    def _words(self, words: list) -> dict:
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each new word. A run of plain letters, maybe with a full stop or comma, needs no general pattern."""
         out, odd = {}, []
-        lower = self.layout == "dropped"
         for w in words:
-            s = w.decode().lower() if lower else w
-            bare = s if lower or s[0] != " " else s[1:]
-            if bare.isalpha() and max(bare) < _PLAIN:
+            s = w.decode().lower()
+            if s.isalpha() and max(s) < _PLAIN:
                 out[w] = self._stem(s)
-            elif bare[-1:] in (".", ",") and bare[:-1].isalpha() and max(bare) < _PLAIN:
+            elif s[-1] in ".," and s[:-1].isalpha() and max(s) < _PLAIN:
                 out[w] = self._stem(s[:-1]) + self._stem(s[-1])
             else:
                 odd.append(w)
         for i in range(0, len(odd), 4096):
             part = odd[i : i + 4096]
-            out.update(zip(part, self._direct([w.decode() if lower else w for w in part]), strict=True))
+            out.update(zip(part, self._direct([w.decode() for w in part]), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.layout is None:
             return self._direct(texts)
-        # Bytes are split at ASCII white space only.
-        cut = [t.encode().split() for t in texts] if self.layout == "dropped" else [_LEAD.findall(t) for t in texts]
+        if self.ranks is not None:
+            return [array("I", self.ranks.encode_ordinary(t)).tobytes() for t in texts]
+        cut = [t.encode().split() for t in texts]  # bytes are split at ASCII white space only
         here = set().union(*cut)
         if len(self.memo) + len(here) > MEMO_WORDS:
             self.memo, self.stems = {}, {}
