@@ -17,6 +17,7 @@ from weftline.llm.quality import quality_digest
 from weftline.llm.sharding import shard_documents
 from weftline.llm.simhash import simhash_digest
 from weftline.llm.token_store import store_documents
+from weftline.llm.toxicity import toxicity_digest
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(_read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_token_store": op5_token_store,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_passage_dedup": op10_passage_dedup,
