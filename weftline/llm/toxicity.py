@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import ship
@@ -27,8 +27,8 @@ WINDOW, STRIDE, UNITS, DIM, ATTEND = 32, 26, 6, 8, 6
 NGRAMS, BUCKETS = (3, 4, 5), 1 << 15
 #: Texts of the training sample per label, its words in all, and words that have a vector of their own (by frequency).
 EACH_CLASS, TRAIN_WORDS, VOCABULARY, LEAST_TEXTS = 2_000, 2_500_000, 30_000, 4
-#: Turns of finding windows and learning, passes over the windows in a turn, windows per step and per clean text.
-TURNS, PASSES, STEP, HARDEST, RATE = 4, 2, 128, 2, 0.015
+#: Turns of finding windows and learning, passes over the windows in a turn, windows per step and per clean text, steps of a turn at least.
+TURNS, PASSES, STEP, HARDEST, RATE, LEAST_STEPS = 4, 2, 128, 2, 0.015, 50
 #: Words that a worker remembers, and their characters in all; texts, bytes of texts and windows that it takes at once.
 MEMO_WORDS, MEMO_CHARS, AT_ONCE, BYTES_AT_ONCE, CHUNK = 300_000, 8_000_000, 512, 8_000_000, 1024
 EDGES = ".,;:!?\"'()[]{}<>*_-"
@@ -321,9 +321,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
             label += [y] * len(best)
         windows, label = np.array(windows), np.array(label, np.float32)
         weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
-        for passed in range(PASSES):
+        passes = max(PASSES, -(-LEAST_STEPS * STEP // len(windows)))
+        for passed in range(passes):
             order = rng.permutation(len(windows))
-            rate = RATE * 0.7 ** (turn + passed / PASSES)
+            rate = RATE * 0.7 ** (turn + passed / passes)
             for k in range(0, len(order), STEP):
                 _learn_step(net, adam, windows[order[k : k + STEP]], label[order[k : k + STEP]], weight[order[k : k + STEP]], row, buckets, starts, counts, room, rate)
     return net
@@ -396,10 +397,10 @@ def training_sample(documents: DataFrame, labels: DataFrame, each: int = EACH_CL
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).filter(~held_out("doc_id"))
     longest = 64 * 8 * most_words // (2 * each)
     sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("_bytes")).filter(F.col("_bytes").between(1, longest)).distinct()
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "_bytes"))
-    picked = known.join(sizes, "doc_id").withColumn("_nth", nth).filter(F.col("_nth") <= each).select("_nth", "toxic", "doc_id", "_bytes").collect()  # 2 * each narrow rows
+    able = known.join(sizes, "doc_id").withColumn("_order", F.xxhash64("doc_id"))
+    picked = [(nth, r) for y in (0, 1) for nth, r in enumerate(able.filter(F.col("toxic") == y).orderBy("_order", "doc_id", "_bytes").limit(each).collect())]  # 2 * each narrow rows
     left, wanted = 8 * most_words, []
-    for r in sorted(picked):
+    for _, r in sorted(picked, key=lambda x: (x[0], x[1]["toxic"])):
         left -= r["_bytes"]
         if left < 0:
             break
