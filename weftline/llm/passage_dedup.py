@@ -28,6 +28,8 @@ MOST_WORDS = 16
 #: Words of consecutive repeated chunks that make a passage, and words that a removed stretch of one has at least:
 #: a common word or two inside a passage may have been elsewhere before.
 PASSAGE_WORDS, STRETCH_WORDS = 18, 9
+#: A pair's first word, words of its first chunk (at most MOST_WORDS) and words (at most twice that) travel as one number.
+SIZE_BITS, PLACE_BITS = 6, 12
 
 _BASE = 0x9E37_79B9_7F4A_7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -78,16 +80,16 @@ def _pairs(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             cut = batch.slice(at, 512)
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for row, doc_id, text in zip(*(c.to_pylist() for c in cut.columns), strict=True):
                 words = (text or "").encode().split()
                 if not words:
                     continue
                 starts, own, sizes, codes = pairs(np.array([digest(w) for w in words], np.uint64))
-                for to, x in zip(cols, (codes.view(np.int64), np.full(len(codes), row), np.full(len(codes), doc_id), starts.astype(np.int32), own.astype(np.int32), sizes.astype(np.int32)), strict=True):
+                for to, x in zip(cols, (codes.view(np.int64), np.full(len(codes), row), np.full(len(codes), doc_id), starts << PLACE_BITS | own << SIZE_BITS | sizes), strict=True):
                     to.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["digest", "_row", "doc_id", "start", "own", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["digest", "_row", "doc_id", "place"])
 
 
 def repeated_passages(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -100,9 +102,15 @@ def repeated_passages(documents: DataFrame, scratch: Scratch | None = None) -> D
     """
     ship(documents.sparkSession)
     last = F.lit((1 << 63) - 1)
-    chunks = documents.select("_row", F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text").mapInArrow(_pairs, "digest long, _row long, doc_id long, start int, own int, n int")
+    chunks = documents.select("_row", F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text").mapInArrow(_pairs, "digest long, _row long, doc_id long, place long")
     many = chunks.groupBy("digest").agg(F.min("_row").alias("a"), F.max("_row").alias("b"), F.min("doc_id").alias("first")).filter("a < b").select("digest", "first")
-    found = chunks.join(many, "digest").select("_row", "start", "own", "n", (F.col("doc_id") != F.col("first")).alias("removed"))
+    found = chunks.drop("doc_id").join(many, "digest").select("_row", "place", "first")
+    # Rows' doc_ids come in where the pairs of a row come together anyway.
+    own_ids = documents.select("_row", F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"))
+    size = F.lit((1 << SIZE_BITS) - 1)
+    found = found.join(own_ids, "_row").select(
+        "_row", F.shiftright("place", PLACE_BITS).alias("start"), F.shiftright("place", SIZE_BITS).bitwiseAND(size).alias("own"), F.col("place").bitwiseAND(size).alias("n"), (F.col("_id") != F.col("first")).alias("removed")
+    )
     order = Window.partitionBy("_row").orderBy("start")
     ends = F.lag(F.col("start") + F.col("n")).over(order)
     apart = (~F.coalesce(F.col("start") < ends, F.lit(False))).cast("int")
@@ -113,7 +121,7 @@ def repeated_passages(documents: DataFrame, scratch: Scratch | None = None) -> D
     runs = runs.withColumn("n", F.when(F.lead("start").over(run.orderBy("start")).isNull(), F.col("n")).otherwise(F.col("own")))
     stretches = _joined(runs.select("_row", "_run", "start", "n", "removed"))
     firm = stretches.withColumn("removed", F.col("removed") & (F.col("n") >= STRETCH_WORDS))
-    return _joined(firm).select("_row", "start", F.col("n").cast("int").alias("n_words"), "removed")
+    return _joined(firm).select("_row", F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n_words"), "removed")
 
 
 def _joined(spans: DataFrame) -> DataFrame:
