@@ -7,22 +7,15 @@ costs little.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.shared import cut
+
 #: Steps between two checkpoints.
 EVERY = 5
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="weftline-graph-"))
-    return df.checkpoint()
-
-
 def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
 
@@ -45,8 +38,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.9, steps: int = 5, dangling_self
     # Repeated edges are summed up once: the edge list of the loop has a weight instead.
     degree = out_degree(edges)
     weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("_k")).join(degree, "src").select("src", "dst", (F.col("_k") / F.col("degree")).alias("_w"))
-    weighted = _cut(weighted)
-    ids = _cut(vertices(edges).join(degree.select(F.col("src").alias("id"), F.lit(False).alias("_hangs")), "id", "left").select("id", F.coalesce("_hangs", F.lit(True)).alias("_hangs")))
+    weighted = cut(weighted)
+    ids = cut(vertices(edges).join(degree.select(F.col("src").alias("id"), F.lit(False).alias("_hangs")), "id", "left").select("id", F.coalesce("_hangs", F.lit(True)).alias("_hangs")))
     n = n_vertices or ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("rank"))
@@ -57,11 +50,11 @@ def pagerank(edges: DataFrame, alpha: float = 0.9, steps: int = 5, dangling_self
         if dangling_self or n == 1:
             share = F.col("_d") / n
         else:
-            share = F.when(F.col("_hangs"), (F.col("_d") - F.col("rank")) / (n - 1)).otherwise(F.col("_d") / n if n == 1 else F.col("_d") / (n - 1))
+            share = F.when(F.col("_hangs"), (F.col("_d") - F.col("rank")) / (n - 1)).otherwise(F.col("_d") / (n - 1))
         new = (1 - alpha) / n + alpha * (F.coalesce("_in", F.lit(0.0)) + share)
         after = ranks.join(got, "id", "left").crossJoin(F.broadcast(lost)).select("id", "_hangs", F.col("rank").alias("_old"), new.alias("rank"))
         if tolerance is not None or step % EVERY == 0:
-            after = _cut(after)
+            after = cut(after)
         if tolerance is not None and after.filter(F.abs(F.col("rank") - F.col("_old")) >= tolerance * F.col("_old")).isEmpty():
             return after.select("id", "rank")
         ranks = after.drop("_old")
@@ -70,15 +63,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.9, steps: int = 5, dangling_self
 
 def hits(edges: DataFrame, steps: int = 3, start: float = 1e-7, normalize: bool = False) -> DataFrame:
     """(id, authority, hub); both are updated from the scores of the step before. ``normalize``: to sum 1 at the end."""
-    edges = _cut(edges.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").cast("double").alias("_k")))
-    scores = _cut(vertices(edges)).select("id", F.lit(start).alias("authority"), F.lit(start).alias("hub"))
+    edges = cut(edges.filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").cast("double").alias("_k")))
+    scores = cut(vertices(edges)).select("id", F.lit(start).alias("authority"), F.lit(start).alias("hub"))
     ids = scores.select("id")
     for step in range(1, steps + 1):
         a = edges.join(scores.select(F.col("id").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("hub") * F.col("_k")).alias("authority"))
         h = edges.join(scores.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("authority") * F.col("_k")).alias("hub"))
         scores = ids.join(a, "id", "left").join(h, "id", "left").select("id", F.coalesce("authority", F.lit(0.0)).alias("authority"), F.coalesce("hub", F.lit(0.0)).alias("hub"))
         if step % EVERY == 0:
-            scores = _cut(scores)
+            scores = cut(scores)
     if normalize:
         total = scores.agg(F.sum("authority").alias("_a"), F.sum("hub").alias("_h"))
         scores = scores.crossJoin(F.broadcast(total)).select("id", F.try_divide("authority", "_a").alias("authority"), F.try_divide("hub", "_h").alias("hub"))

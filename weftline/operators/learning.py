@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.graph import _cut
 from weftline.operators.ranking import lambda_gradients
+from weftline.shared import cut
 
 #: Bins of a feature's histogram.
 BINS = 64
@@ -124,7 +124,7 @@ def boost(df: DataFrame, features: list[str], target: str, loss: str = "squared"
 
     Starts from the mean, its log-odds or 0, or from ``warm``. Rows with a null target take no part.
     """
-    df = _cut(df.filter(F.col(target).isNotNull()))
+    df = cut(df.filter(F.col(target).isNotNull()))
     mean = df.agg(F.avg(target)).first()[0]
     if mean is None:
         return warm or Boosted(0.0, rate, loss)
@@ -200,7 +200,7 @@ def ials(ratings: DataFrame, rank: int = 8, rounds: int = 5, lam: float = 0.1, a
     of = lambda k: b.filter(F.col("kind") == k).select(F.col("id").alias(k), F.col("bias").alias(f"_b{k}"))
     mean = F.broadcast(ratings.agg(F.avg("rating").alias("_m")))
     r = r.join(of("user"), "user").join(of("item"), "item").crossJoin(mean).withColumn("_base", F.col("_m") + F.col("_buser") + F.col("_bitem"))
-    r = _cut(r.select("user", "item", "rating", "_c", "_base", (F.col("rating") - F.col("_base")).alias("_y")))
+    r = cut(r.select("user", "item", "rating", "_c", "_base", (F.col("rating") - F.col("_base")).alias("_y")))
 
     def start(side: str) -> DataFrame:
         parts = [(F.pmod(F.xxhash64(side, F.lit(i)), F.lit(2001)) / 1000.0 - 1) * 0.1 for i in range(rank)]
@@ -212,7 +212,7 @@ def ials(ratings: DataFrame, rank: int = 8, rounds: int = 5, lam: float = 0.1, a
         pairs = [(p, q) for p in range(rank) for q in range(p, rank)]
         sums = [F.sum(F.col("_c") * v[p] * v[q]).alias(f"a{i}") for i, (p, q) in enumerate(pairs)] + [F.sum(F.col("_c") * F.col("_y") * v[p]).alias(f"b{p}") for p in range(rank)]
         kind = dict(r.dtypes)[side]
-        return _cut(j.groupBy(side).agg(*sums).mapInPandas(_solve(rank, lam, side), f"`{side}` {kind}, v array<double>"))
+        return cut(j.groupBy(side).agg(*sums).mapInPandas(_solve(rank, lam, side), f"`{side}` {kind}, v array<double>"))
 
     items = start("item")
     users = None

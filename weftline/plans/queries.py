@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import clicks, extremes, graph, ranking, text_stats, web
+from weftline.operators import clicks, extremes, graph, learning, ranking, text_stats, web
+from weftline.shared import new_folder
+from weftline.sources import binary
 from weftline.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,8 +498,6 @@ def log_loss(spark, sf_dir):
 
 # Learning
 
-from weftline.operators import learning  # noqa: E402
-
 _RATINGS = "r AS (SELECT o_custkey AS user, l_partkey AS item, least(5, greatest(1, ceil(l_quantity / 10)))::DOUBLE AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
@@ -572,3 +572,32 @@ def ials_predict(spark, sf_dir):
 def hashed_logit_predict(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "purchase").cast("double").alias("y"), F.hour("ts").alias("hour"), "user_id", F.array(F.get_json_object("props", "$.k")).alias("k"))
     return learning.hashed_logit(e, ["hour", "user_id"], ["k"], "y", interactions=[("hour", "user_id")]).select("event_id", "prediction")
+
+
+# Sources and the streaming extension
+
+
+@query("pkz_roundtrip", "SELECT md5(text) AS digest, count(*) AS cnt FROM documents GROUP BY ALL")
+def pkz_roundtrip(spark, sf_dir):
+    """Documents through packed files and back."""
+    binary.register(spark)
+    path = new_folder(spark, "pkz")
+    binary.write_pkz(table(spark, sf_dir, "documents"), path)
+    return spark.read.format("pkz").load(path).groupBy(F.md5("document").alias("digest")).agg(F.count("*").alias("cnt"))
+
+
+@query("fixed_records", "SELECT CAST(page_id AS VARCHAR) AS page, md5(url) AS digest FROM pages")
+def fixed_records(spark, sf_dir):
+    """Records of 52 bytes: a number and a digest."""
+    binary.register(spark)
+    path = new_folder(spark, "fixed")
+    binary.write_fixed(table(spark, sf_dir, "pages").select(F.concat(F.lpad(F.col("page_id").cast("string"), 20, " "), F.md5("url")).cast("binary").alias("record")), path)
+    text = F.col("record").cast("string")
+    return spark.read.format("fixed_records").option("recordBytes", 52).load(path).select(F.trim(F.substring(text, 1, 20)).alias("page"), F.substring(text, 21, 32).alias("digest"))
+
+
+@query("windowed_counts", "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS cnt FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    from weftline.streaming.clicks import windowed_counts as counts
+
+    return counts(table(spark, sf_dir, "events"), ["event_type"])
