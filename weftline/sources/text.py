@@ -47,10 +47,13 @@ def dense(features: Column, n: int, first: int = 1) -> Column:
     return F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda i: F.coalesce(F.try_element_at(features, i), F.lit(0.0)))
 
 
-@F.pandas_udf("string")
-def inflate(raw: pd.Series) -> pd.Series:
+def inflate(raw: Column) -> Column:
     """zlib streams to text; null stays null."""
-    return raw.map(lambda b: None if b is None else zlib.decompress(b).decode("utf-8", "replace"))
+
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else zlib.decompress(b).decode("utf-8", "replace"))
+
+    return F.pandas_udf(decode, "string")(raw)
 
 
 def page_html(encoded: Column) -> Column:
