@@ -52,9 +52,12 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     names, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     if "" in names:  # white space at an end of a text
-        real = codes != names.index("")
+        none = names.index("")
+        real = codes != none
         lengths = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(lengths)])])
         codes = codes[real]
+        codes -= codes > none
+        del names[none]
     return names, codes, lengths
 
 
