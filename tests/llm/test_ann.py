@@ -32,3 +32,23 @@ def test_odd_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in nearest_neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 7)]
     assert nearest_neighbours(df.filter("vec_id = 3"), F.lit(True)).count() == 0
+
+
+def recall(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in nearest_neighbours(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(np.arange(len(x)), x, range(0, len(x), 50), 5)
+    assert set(got) == set(want)
+    return np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want])
+
+
+def test_dense_groups(spark):
+    """Members of a group are closer to each other than codewords are; a third of the rows are one group."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(5, 64))
+    groups = centres[np.arange(5000) % 5] + 0.05 * rng.normal(size=(5000, 64))
+    assert recall(spark, groups) >= 0.9
+    hot = np.where((np.arange(5000) % 3 == 0)[:, None], centres[0] + 0.05 * rng.normal(size=(5000, 64)), rng.normal(size=(5000, 64)))
+    assert recall(spark, hot) >= 0.9

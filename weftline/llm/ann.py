@@ -2,8 +2,10 @@
 
 Unit vectors are dealt to the nearest of some coarse centroids; what is left is cut into sub-vectors and each is coded
 by its nearest codeword. A query looks into the lists of its nearest centroids and adds up table entries of inner
-products with codewords (asymmetric distances), without decoding. Its best candidates over all lists are ranked again
-by the exact measure on the original vectors.
+products with codewords (asymmetric distances), without decoding. A row's distance from its decoded vector bounds how
+far such a sum can be off, so every row that may be among the k nearest of the lists looked into is known and ranked by
+the exact measure on the original vectors, however many there are: members of a dense group, closer to each other than
+codewords are, all are.
 
 Centroids, codewords and the number of lists to look into are fitted on a bounded sample (TRAIN_ROWS); every row is
 indexed. A query looks into as many lists as hold PROBE_RECALL of the sample's own nearest neighbours: few where
@@ -27,8 +29,8 @@ from weftline.llm.scratch import Scratch, ship
 TRAIN_ROWS, MOST_LISTS, SUBVECTORS, CODEWORDS = 50_000, 4096, 16, 256
 #: Share of the sample's neighbours that must lie in the lists looked into, and sample queries for that.
 PROBE_RECALL, PROBE_QUERIES = 0.98, 400
-#: Rows of a group that is searched at once; candidates ranked exactly.
-GROUP_ROWS, RERANK = 16_384, 100
+#: Rows of a group that is searched at once; slack of sums in double precision.
+GROUP_ROWS, SLACK = 16_384, 1e-9
 
 
 def usable(v: Column) -> Column:
@@ -68,11 +70,12 @@ class Index:
         w = self.dim // self.parts
         self.books = [kmeans(rest[:, j * w : (j + 1) * w], CODEWORDS, rng) for j in range(self.parts)]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes (uint8 per sub-vector) of unit vectors."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes (uint8 per sub-vector) and distance from the decoded vector of unit vectors."""
         where = nearest(x, self.centroids)
         rest, w = x - self.centroids[where], self.dim // self.parts
-        return where, np.stack([nearest(rest[:, j * w : (j + 1) * w], b) for j, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, j * w : (j + 1) * w], b) for j, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        return where, codes, np.linalg.norm(rest - np.hstack([b[codes[:, j]] for j, b in enumerate(self.books)]), axis=1)
 
     def probes(self, q: np.ndarray) -> np.ndarray:
         """All lists for each query, the nearest centroid first."""
@@ -99,9 +102,11 @@ class Index:
         return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+def _raw(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -110,59 +115,74 @@ def _indexing(index: Index):
     def work(batches):
         for batch in batches:
             if batch.num_rows:
-                where, codes = index.encode(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "list", "codes"])
+                x = _raw(batch.column(1))
+                where, codes, off = index.encode(_unit(x))
+                columns = [batch.column(0), pa.array(where.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array([y.tobytes() for y in x], pa.binary()), batch.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "list", "codes", "off", "v", "_ask"])
 
     return work
 
 
 def _probing(index: Index, n: int, base: np.ndarray, spread: np.ndarray):
-    """A row per query and group of lists: the query's unit vector and those of its lists that the group holds."""
+    """A row per query and group of lists: the query's vector and those of its lists that the group holds."""
 
     def work(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            x = _matrix(batch.column(1)) if batch.num_rows else np.empty((0, index.dim))
-            for query_id, q, lists in zip(batch.column(0).to_pylist(), x, index.probes(x)[:, :n], strict=True):
+            vectors = batch.column(1).to_pylist()
+            x = _unit(np.frombuffer(b"".join(vectors)).reshape(len(vectors), -1)) if vectors else np.empty((0, index.dim))
+            for query_id, q, lists in zip(batch.column(0).to_pylist(), vectors, index.probes(x)[:, :n], strict=True):
                 by: dict[int, list[int]] = {}
                 for one in lists.tolist():
                     for g in range(base[one], base[one] + spread[one]):
                         by.setdefault(g, []).append(one)
                 for g, some in by.items():
-                    for to, y in zip(out, (query_id, g, q.tobytes(), np.array(sorted(some), np.int32).tobytes()), strict=True):
+                    for to, y in zip(out, (query_id, g, q, np.array(sorted(some), np.int32).tobytes()), strict=True):
                         to.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["query_id", "grp", "q", "lists"])
 
     return work
 
 
-def _searching(index: Index, keep: int):
+def _dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the last axis, added in its order: equal vectors have equal ones wherever they stand."""
+    out = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-1])
+    for j in range(x.shape[-1]):
+        out = out + x[..., j] * y[..., j]
+    return out
+
+
+def _searching(index: Index, k: int):
+    """The k nearest of each query among the rows of a group that lie in its lists, with exact scores."""
+
     def work(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
             rows = rows.sort_values(["list", "vec_id"])
-            ids, of = rows["vec_id"].to_numpy(), rows["list"].to_numpy()
+            ids, of, off = (rows[c].to_numpy() for c in ("vec_id", "list", "off"))
             codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(ids), -1).astype(np.intp) + np.arange(index.parts) * CODEWORDS
+            raw = np.frombuffer(b"".join(rows["v"])).reshape(len(ids), -1)
+            unit = _unit(raw)
             for query_id, q, lists in zip(queries["query_id"].to_numpy(), queries["q"], queries["lists"], strict=True):
                 q, lists = np.frombuffer(q), np.frombuffer(lists, np.int32)
+                u = _unit(q[None])[0]
                 look = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(of, lists, "left"), np.searchsorted(of, lists, "right"), strict=True)])
-                near = (index.centroids @ q)[of[look]] + index.tables(q).ravel()[codes[look]].sum(axis=1)
-                best = _top(near, ids[look], keep + 1)
-                found = ids[look[best]]
-                own = found != query_id
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": found[own], "near": near[best][own]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "near": np.empty(0)})
+                look = look[ids[look] != query_id]
+                near = (index.centroids @ u)[of[look]] + index.tables(u).ravel()[codes[look]].sum(axis=1)
+                may = look[near + off[look] >= _kth(near - off[look], k) - SLACK]
+                score = unit[may] @ u
+                may = may[score >= _kth(score, k) - SLACK]
+                score = _dot(raw[may], q) / (np.sqrt(_dot(q, q)) * np.sqrt(_dot(raw[may], raw[may])))
+                best = np.lexsort((ids[may], -score))[:k]
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[may[best]], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
     return work
 
 
-def _top(near: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the nearest, equal ones by id."""
-    if len(near) > keep:
-        some = np.flatnonzero(near >= np.partition(near, len(near) - keep)[len(near) - keep])
-    else:
-        some = np.arange(len(near))
-    return some[np.lexsort((ids[some], -near[some]))][:keep]
+def _kth(x: np.ndarray, k: int) -> float:
+    """The k-th largest; without so many, less than all."""
+    return np.partition(x, len(x) - k)[len(x) - k] if len(x) >= k else -np.inf
 
 
 def _groups(counts: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,21 +222,16 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, scratch:
     v = scratch.keep(v.filter(F.size("v") == sizes["d"]).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("_ask").alias("_ask")))
     n = v.count()
     sample = v.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(math.ceil(n / TRAIN_ROWS))) == 0).select("vec_id", "v").orderBy("vec_id").limit(2 * TRAIN_ROWS).toArrow()
-    sample = _matrix(sample.column(1).combine_chunks())
+    sample = _unit(_raw(sample.column(1).combine_chunks()))
     index = Index(sample, max(1, min(MOST_LISTS, math.isqrt(n))))
     lists = len(index.centroids)
-    coded = scratch.keep(v.select("vec_id", "v").mapInArrow(_indexing(index), "vec_id long, list int, codes binary"))
+    coded = scratch.keep(v.select("vec_id", "v", "_ask").mapInArrow(_indexing(index), "vec_id long, list int, codes binary, off double, v binary, _ask boolean"))
+    scratch.drop(v)
     counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row per list, at most MOST_LISTS
     base, spread = _groups(counts, lists)
     where = spark.createDataFrame([(one, int(base[one]), int(spread[one])) for one in counts], "list int, base int, spread int")
-    rows = coded.join(F.broadcast(where), "list").select("vec_id", "list", "codes", (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("spread"))).cast("int").alias("grp"))
-    asked = v.filter("_ask").select("vec_id", "v").mapInArrow(_probing(index, index.probes_needed(sample, k), base, spread), "query_id long, grp int, q binary, lists binary")
-    found = rows.groupBy("grp").cogroup(asked.groupBy("grp")).applyInPandas(_searching(index, RERANK), "query_id long, vec_id long, near double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= RERANK).select("query_id", "vec_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    normed = v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    asking = normed.filter("_ask").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("qn"))
-    exact = short.join(normed.select("vec_id", "v", "norm"), "vec_id").join(asking, "query_id").select("query_id", "vec_id", (dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("norm"))).alias("score"))
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    rows = coded.join(F.broadcast(where), "list").select("vec_id", "list", "codes", "off", "v", (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("spread"))).cast("int").alias("grp"))
+    asked = coded.filter("_ask").select("vec_id", "v").mapInArrow(_probing(index, index.probes_needed(sample, k), base, spread), "query_id long, grp int, q binary, lists binary")
+    found = rows.groupBy("grp").cogroup(asked.groupBy("grp")).applyInPandas(_searching(index, k), "query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
