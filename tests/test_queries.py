@@ -17,3 +17,13 @@ def test_entry_imports(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["word", "df"]
+
+
+def test_whole_query_texts_are_scored(spark):
+    """A document that shares no more than the last word with an item has a row."""
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    last = items.selectExpr("item_id AS query_id", "element_at(split(lower(text), ' ', -1), -1) AS word")
+    want = docs.selectExpr("doc_id", "explode(array_distinct(split(lower(text), ' ', -1))) AS word").join(last, "word").select("query_id", "doc_id").distinct()
+    assert want.count() > 0
+    for name in ("bm25_whole", "tf_idf_whole"):
+        assert want.join(QUERIES[name](spark, SMALL), ["query_id", "doc_id"], "left_anti").count() == 0

@@ -42,19 +42,21 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str, words: Column, quer
     """query_id, key, tf_idf, bm25 for every document that shares a word with a query.
 
     Term frequency is divided by the document's length in both measures. Words without an idf weigh 0. ``queries``
-    (query_id, ...) must be small: its words are broadcast so that documents are filtered before any shuffle; give
-    batches of queries otherwise.
+    (query_id, ...) may have any size: their words are joined, and broadcast only where their size allows it; the
+    weights, a row per different word of the queries, are. Documents are dealt by key before their words are counted,
+    so that neither counts nor sums per document move again.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(query_words)).alias("word"))
-    n = docs.select(key, F.size(words).alias("length"), words.alias("_words"))
-    stats = n.agg(F.avg("length").alias("_mean"), F.count("*").alias("_n"))
+    measured = lambda d: d.select(key, F.size(words).alias("length"), words.alias("_words"))
+    n = measured(docs.repartition(key))
+    stats = measured(docs).agg(F.avg("length").alias("_mean"), F.count("*").alias("_n"))
     wanted = q.select("word").distinct()
-    hits = n.select(key, "length", F.explode("_words").alias("word")).join(F.broadcast(wanted), "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
+    hits = n.select(key, "length", F.explode("_words").alias("word")).join(wanted, "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
     weight = hits.groupBy("word").agg(F.count("*").alias("df"))
     mean = F.lit(float(average)) if average else F.col("_mean")
     tf = F.col("tf") / F.col("length")
     scored = (
-        hits.join(F.broadcast(weight), "word").crossJoin(F.broadcast(stats)).join(F.broadcast(q), "word")
+        hits.join(F.broadcast(weight), "word").crossJoin(F.broadcast(stats)).join(q, "word")
         .withColumn("_idf", F.log2(F.col("_n") / F.col("df")))
         .withColumn("_tf_idf", tf * F.col("_idf"))
         .withColumn("_bm25", F.col("_idf") * tf * (k + 1) / (tf + k * (1 - b + b * F.col("length") / mean)))

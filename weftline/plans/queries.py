@@ -84,10 +84,15 @@ _RELEVANCE = """WITH d AS (SELECT doc_id, string_split(lower(text), ' ') AS ws F
 """
 
 
-def _relevance(spark, sf_dir):
+#: The same with the whole text of each item as the query.
+_WHOLE_RELEVANCE = _RELEVANCE.replace("[1:5]", "")
+
+
+def _relevance(spark, sf_dir, whole=False):
+    """Queries are the first five words of an item, or its whole text."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
     words = F.split(F.lower("text"), " ", -1)
-    return text_stats.relevance(d, b, "doc_id", words, F.slice(words, 1, 5))
+    return text_stats.relevance(d, b, "doc_id", words, words if whole else F.slice(words, 1, 5))
 
 
 @query("tf_idf", _RELEVANCE + "SELECT query_id, doc_id, round(sum(f * idf), 8) AS tf_idf FROM x GROUP BY ALL")
@@ -100,6 +105,16 @@ def bm25(spark, sf_dir):
     return _relevance(spark, sf_dir).select("query_id", "doc_id", F.round("bm25", 8).alias("bm25"))
 
 
+@query("tf_idf_whole", _WHOLE_RELEVANCE + "SELECT query_id, doc_id, round(sum(f * idf), 8) AS tf_idf FROM x GROUP BY ALL")
+def tf_idf_whole(spark, sf_dir):
+    return _relevance(spark, sf_dir, whole=True).select("query_id", "doc_id", F.round("tf_idf", 8).alias("tf_idf"))
+
+
+@query("bm25_whole", _WHOLE_RELEVANCE + "SELECT query_id, doc_id, round(sum(idf * f * 3 / (f + 2 * (0.25 + 0.75 * l))), 8) AS bm25 FROM x GROUP BY ALL")
+def bm25_whole(spark, sf_dir):
+    return _relevance(spark, sf_dir, whole=True).select("query_id", "doc_id", F.round("bm25", 8).alias("bm25"))
+
+
 @query(
     "cosine_distance",
     """SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
