@@ -27,3 +27,18 @@ def test_whole_query_texts_are_scored(spark):
     assert want.count() > 0
     for name in ("bm25_whole", "tf_idf_whole"):
         assert want.join(QUERIES[name](spark, SMALL), ["query_id", "doc_id"], "left_anti").count() == 0
+
+
+def test_every_link_is_an_edge(spark):
+    edges = QUERIES["link_graph_all"](spark, SMALL)
+    links = QUERIES["extract_links"](spark, SMALL).selectExpr("page_id AS src", "md5(link) AS dst").distinct()
+    assert edges.count() == links.count() > QUERIES["link_graph_edges"](spark, SMALL).count()
+    assert links.join(edges, ["src", "dst"], "left_anti").count() == 0
+
+
+def test_unknown_urls_are_dropped(spark):
+    from weftline.operators.web import link_graph
+
+    found = spark.createDataFrame([(1, "a"), (1, "a"), (1, "x"), (2, "b")], "page_id int, link string")
+    urls = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30)], "url string, id int")
+    assert sorted(map(tuple, link_graph(found, urls, "page_id").collect())) == [(1, 10), (2, 20)]

@@ -184,6 +184,13 @@ def link_graph_edges(spark, sf_dir):
     return web.link_graph(found, urls, "page_id")
 
 
+@query("link_graph_all", f"WITH l AS ({_LINKS}) SELECT DISTINCT page_id AS src, md5(link) AS dst FROM l")
+def link_graph_all(spark, sf_dir):
+    """Every link text is a known url."""
+    found = web.extract_links(table(spark, sf_dir, "pages"), "page_id")
+    return web.link_graph(found, found.select(F.col("link").alias("url"), F.md5("link").alias("id")).distinct(), "page_id")
+
+
 #: Rules of the four kinds for hosts by their name's last characters, as (SQL condition on host, rules).
 _RULES = [("host LIKE '%.com'", "Disallow: /en\nDisallow: *1$"), ("host LIKE '%.org'", "Disallow: *a*\nDisallow: /fr/"), ("host LIKE '%.net'", "Disallow: /de$\nDisallow: */page"), ("host LIKE '%e%'", "Disallow: 7$")]
 
