@@ -121,7 +121,11 @@ def bm25_whole(spark, sf_dir):
        FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""",
 )
 def cosine_distance(spark, sf_dir):
-    """Queries are every fiftieth vector, against all of the same label."""
+    """Distances of given pairs, as the reference's operator takes them (a query and the titles found for it).
+
+    The label supplies the pairs: every fiftieth vector with all others of its label. Other pairs, and vectors without
+    a label, are no input.
+    """
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("a_id"), F.col("embedding").alias("_q"))
     return e.join(q, "label").filter("a_id <> vec_id").select("a_id", F.col("vec_id").alias("b_id"), F.round(T.cosine_distance(F.col("_q"), F.col("embedding")), 6).alias("distance"))
