@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from weftline.llm.near_documents import similar_links
+from weftline.llm.jaccard import similar_links
 
 
 def windows(text):
@@ -59,6 +59,10 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
 
 
 def test_limit_is_exact():
-    a = np.arange(9, dtype=np.uint64)
-    assert similar_links([a, a[:8], a[:7]]) == ([0, 1], [1, 2])
-    assert similar_links([a, a[:7]]) == ([], [])
+    def links(*sizes):
+        u, v = similar_links(np.concatenate([np.arange(n, dtype=np.uint64) for n in sizes]), np.repeat(np.arange(len(sizes)), sizes), len(sizes), (4, 5))
+        return u.tolist(), v.tolist()
+
+    assert links(9, 8, 7) == ([0, 1], [1, 2])
+    assert links(9, 7) == ([], [])
+    assert links(10, 8) == ([0], [1])

@@ -2,28 +2,29 @@
 
 A line is the text between newlines without ASCII white space at its ends; lines without a word are left alone. Lines
 are nodes by their 64-bit hash, so copies cost one node. Signatures over character shingles are banded for high
-recall; inside a bucket, two-bit sketches of the signatures rule out chance collisions and the rest form candidate
-clusters, each line in one. Within a cluster, exact Jaccard similarity decides every link. Distributed union-find joins
-links to components and one line of each component stays: the first by (doc_id, row, line).
+recall (0.995 for a pair at similarity 0.8, more above); band keys travel with two-bit sketches of the signatures,
+which rule out chance collisions inside a bucket, and the rest form candidate clusters, each line in one. Within a
+cluster, exact Jaccard similarity decides every link. Distributed union-find joins links to components and one line of
+each component stays: the first by (doc_id, row, line).
 
-Texts move once (the lines, by hash, to meet the candidates); everything else is narrow.
+Texts move once (the lines, by hash, to meet the candidates); everything else is narrow. Runs of equal keys are read
+from sorted partitions in whole batches, so small buckets and clusters cost no call of their own.
 """
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
-from weftline.llm.scratch import Scratch, ship, with_row_id
+from weftline.llm.jaccard import similar_links
+from weftline.llm.runs import cuts, whole_runs
+from weftline.llm.scratch import Scratch, boxed, ship, unboxed, with_row_id
 
-SHINGLE, BANDS, ROWS, SIMILAR = 5, 10, 4, 0.8
+SHINGLE, BANDS, ROWS, SIMILAR = 5, 10, 4, (4, 5)
 #: Hash functions: bands use the first, sketches all of them, two bits of each.
 PERMS = 64
 #: Two-bit values of a sketch that may differ. At similarity 0.8 about 9.6 of 64 do (deviation 2.9).
@@ -44,9 +45,25 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingles(line: str) -> set[str]:
-    """Character shingles; a shorter line is one shingle."""
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the character shingles of all lines in order, and their number per line (none may be empty).
+
+    A line of fewer characters is one shingle.
+    """
+    part = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(0x9E37_79B9_7F4A_7C15) + code[k : len(code) - SHINGLE + 1 + k]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58_476D_1CE4_E5B9)
+    lengths = np.array([len(x) for x in part])
+    # Shingles across two lines are put aside: each line's run stops SHINGLE - 1 short of its end.
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(lengths)[:-1]
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
+    return h[inside], lengths - SHINGLE + 1
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -58,22 +75,9 @@ def signatures(lines: list[str]) -> np.ndarray:
         while to < len(lines) and (size < 40_000 or to == at):
             size += max(len(lines[to]), SHINGLE)
             to += 1
-        part = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines[at:to]]
-        code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
-        for k in range(SHINGLE):
-            h = h * np.uint64(0x9E37_79B9_7F4A_7C15) + code[k : len(code) - SHINGLE + 1 + k]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58_476D_1CE4_E5B9)
+        h, sizes = shingle_hashes(lines[at:to])
         h = (h >> np.uint64(32)).astype(np.uint32)
-        lengths = np.array([len(x) for x in part])
-        ends = np.cumsum(lengths)
-        # Shingles across two lines are put aside: each line's run stops SHINGLE - 1 short of its end.
-        inside = np.ones(len(h), bool)
-        for k in range(1, SHINGLE):
-            inside[ends[:-1] - k] = False
-        h = h[inside]
-        starts = np.concatenate([[0], np.cumsum(lengths - SHINGLE + 1)[:-1]])
+        starts = np.cumsum(sizes) - sizes
         for k in range(PERMS):
             out[at:to, k] = np.minimum.reduceat(h * _MUL[k] + _ADD[k], starts)
         at = to
@@ -127,8 +131,10 @@ def _new_lines(batches, lines_of):
 
 def _bands(batches):
     def emit(ids, lines):
-        keys = band_keys(signatures(lines))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], ["key", "lid"])
+        sig = signatures(lines)
+        two = sketches(sig).view(np.int64)
+        columns = [band_keys(sig).ravel(), *(np.repeat(x, BANDS) for x in (np.array(ids, np.int64), two[:, 0], two[:, 1]))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "lid", "s1", "s2"])
 
     return _new_lines(batches, emit)
 
@@ -140,165 +146,144 @@ def _texts(batches):
     return _new_lines(batches, emit)
 
 
-def _with_sketch(batches):
-    for batch in batches:
-        lines = batch.column(1).to_pylist()
-        if lines:
-            s = sketches(signatures(lines)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())], ["lid", "line", "s1", "s2"])
-
-
-def _runs(batches):
-    """Arrays of the rows of each value of the first column; input is sorted by it. Runs of one row are left out."""
-    held: list[list[np.ndarray]] = []
-    last = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        n = batch.num_rows
-        if not n:
-            continue
-        bounds = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), n]
-        for k, (a, b) in enumerate(pairwise(bounds)):
-            if k and b < n and b - a == 1:  # alone, and inside the batch
-                continue
-            if cols[0][a] != last or not held:
-                if held and (len(held) > 1 or len(held[0][0]) > 1):
-                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held, last = [], cols[0][a]
-            held.append([c[a:b].copy() for c in cols])
-    if held and (len(held) > 1 or len(held[0][0]) > 1):
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def _shared(batches):
-    """(key, lid) rows of the buckets that hold two different lines or more."""
-    for key, lid in _runs(batches):
-        ids = np.unique(lid)
-        if len(ids) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key[0])), pa.array(ids)], ["key", "lid"])
-
-
-def _cluster(batches):
-    """Links (u, v) that span the sketch-similar lines of each bucket."""
-    for _, lid, s1, s2 in _runs(batches):
-        rest, sk = lid, np.stack([s1, s2], axis=1).view(np.uint64)
-        u, v = [], []
+def bucket_links(key: np.ndarray, lid: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the sketch-similar lines of each bucket; rows of a bucket are consecutive and may repeat."""
+    same = key[1:] == key[:-1]
+    shared = np.zeros(len(key), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    key, lid, sk = key[shared], lid[shared], sk[shared]
+    order = np.lexsort((lid, key))
+    key, lid, sk = key[order], lid[order], sk[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lid[1:] != lid[:-1])
+    key, lid, sk = key[new], lid[new], sk[new]
+    bounds = cuts([key])
+    size = np.diff(bounds)
+    two = bounds[:-1][size == 2]
+    near = apart(sk[two], sk[two + 1]) <= SKETCH_APART
+    us, vs = [lid[two[near]]], [lid[two[near] + 1]]
+    for at, n in zip(bounds[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        rest, sketch = lid[at : at + n], sk[at : at + n]
         while len(rest) > 1:
-            queue, rest, sk = [(rest[0], sk[0])], rest[1:], sk[1:]
+            queue, rest, sketch = [(rest[0], sketch[0])], rest[1:], sketch[1:]
             while queue and len(rest):
                 x, sx = queue.pop()
-                near = apart(sx, sk) <= SKETCH_APART
+                near = apart(sx, sketch) <= SKETCH_APART
                 if near.any():
-                    u += [x] * int(near.sum())
-                    v += rest[near].tolist()
-                    queue += list(zip(rest[near], sk[near], strict=True))
-                    rest, sk = rest[~near], sk[~near]
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(u, np.int64)), pa.array(np.array(v, np.int64))], ["u", "v"])
-
-
-def verified_links(lid: np.ndarray, lines: list[str], sk: np.ndarray, side: np.ndarray | None = None) -> tuple[list, list]:
-    """Links of a spanning forest of the exact similarity graph; ``side``: two blocks, of which only crossing pairs count."""
-    sets: dict[int, set[str]] = {}
-
-    def of(i: int) -> set[str]:
-        if i not in sets:
-            sets[i] = shingles(lines[i])
-        return sets[i]
-
-    u, v = [], []
-    rest = np.arange(len(lid))
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            maybe = apart(sk[x], sk[rest]) <= SKETCH_APART
-            if side is not None:
-                maybe &= side[rest] != side[x]
-            hit = np.zeros(len(rest), bool)
-            a = of(x)
-            for j in np.flatnonzero(maybe).tolist():
-                b = of(rest[j])
-                if min(len(a), len(b)) >= SIMILAR * max(len(a), len(b)):
-                    common = len(a & b)
-                    hit[j] = common >= SIMILAR * (len(a) + len(b) - common)
-            if hit.any():
-                found = rest[hit]
-                u += [int(lid[x])] * len(found)
-                v += lid[found].tolist()
-                queue += found.tolist()
-                rest = rest[~hit]
-    return u, v
-
-
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_b", "lid"])
-    sk = pdf[["s1", "s2"]].to_numpy(np.int64).view(np.uint64)
-    cross = int(pdf["_i"].iloc[0]) != int(pdf["_j"].iloc[0])
-    u, v = verified_links(pdf["lid"].to_numpy(), pdf["line"].tolist(), sk, pdf["_b"].to_numpy() if cross else None)
-    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+                    found = rest[near]
+                    us.append(np.full(len(found), x))
+                    vs.append(found)
+                    queue += list(zip(found, sketch[near], strict=True))
+                    rest, sketch = rest[~near], sketch[~near]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def link_buckets(batches):
+    """Rows (key, lid, s1, s2) in order of key to links (u, v) that span the sketch-similar ones of each key."""
+    for key, lid, s1, s2 in whole_runs(batches, 1):
+        u, v = bucket_links(key, lid, np.stack([s1, s2], axis=1).view(np.uint64))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _verify(batches):
+    """Rows (component, _i, _j, _b, lid, line) in order of the first three to links of the exact similarity graph of each."""
+    for component, i, j, b, lid, line in whole_runs(batches, 3):
+        us, vs = [], []
+        bounds = cuts([component, i, j])
+        for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if to - at > 1:
+                h, sizes = shingle_hashes(line[at:to].tolist())
+                u, v = similar_links(h, np.repeat(np.arange(to - at), sizes), to - at, SIMILAR, b[at:to] if i[at] != j[at] else None)
+                us.append(lid[at:to][u])
+                vs.append(lid[at:to][v])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], ["u", "v"])
+
+
+def block_pairs(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``clusters`` (component, lid, ...) with _b, _i and _j: each row once per pair of blocks that its own is part of.
+
+    ``sizes`` has the number of blocks (_k) of each component. Each pair of rows of a component meets in one (_i, _j).
+    """
+    block = F.pmod(F.xxhash64("lid"), F.col("_k")).cast("int")
+    pairs = F.expr("transform(sequence(0, _k - 1), o -> struct(least(_b, o) AS i, greatest(_b, o) AS j))")
+    dealt = clusters.join(sizes, "component").withColumn("_b", block).withColumn("_p", F.explode(pairs))
+    return dealt.withColumn("_i", F.col("_p.i")).withColumn("_j", F.col("_p.j")).drop("_p", "_k")
 
 
 def line_links(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) between hashes of similar lines of the text column, spanning all components of the exact graph."""
     text = documents.select("text")
-    bands = text.mapInArrow(_bands, "key long, lid long")
-    shared = scratch.keep(bands.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, lid long"))
-    wanted = shared.select("lid").distinct()
-    found = text.mapInArrow(_texts, "lid long, line string").join(wanted, "lid").dropDuplicates(["lid"])
-    lines = scratch.keep(found.mapInArrow(_with_sketch, "lid long, line string, s1 long, s2 long"))
-    near = shared.join(lines.select("lid", "s1", "s2"), "lid").select("key", "lid", "s1", "s2")
-    clusters = connected_components(near.repartition("key").sortWithinPartitions("key").mapInArrow(_cluster, "u long, v long"), scratch)
-    named = scratch.keep(lines.join(clusters.withColumnRenamed("node", "lid"), "lid"))
+    bands = text.mapInArrow(_bands, "key long, lid long, s1 long, s2 long")
+    links = scratch.keep(bands.repartition("key").sortWithinPartitions("key").mapInArrow(link_buckets, "u long, v long"))
+    scratch.sweep()
+    clusters = scratch.keep(connected_components(links, scratch).withColumnRenamed("node", "lid"))
+    scratch.drop(links)
     # A large cluster is cut into blocks and verified block against block: no task holds more than two blocks.
-    sizes = named.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("_k"))
-    block = F.pmod(F.xxhash64("lid"), F.col("_k")).cast("int")
-    pairs = F.expr("transform(sequence(0, _k - 1), o -> struct(least(_b, o) AS i, greatest(_b, o) AS j))")
-    dealt = named.join(sizes, "component").withColumn("_b", block).withColumn("_p", F.explode(pairs))
-    dealt = dealt.select("component", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), "_b", "lid", "line", "s1", "s2")
-    return dealt.groupBy("component", "_i", "_j").applyInPandas(_verify, "u long, v long")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("_k"))
+    dealt = block_pairs(clusters, sizes)
+    lines = text.mapInArrow(_texts, "lid long, line string").join(dealt, "lid").dropDuplicates(["lid", "_i", "_j"])
+    by = ["component", "_i", "_j"]
+    found = lines.select(*by, "_b", "lid", "line").repartition(*by).sortWithinPartitions(*by)
+    return scratch.keep(found.mapInArrow(_verify, "u long, v long"))
 
 
 def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``documents`` (_row, doc_id, text) to (_row, doc_id, n_lines, removed), ``removed`` an array of line numbers.
 
     Lines count from 0, blank ones too. A null or empty text has no line to remove. Rows that repeat lose all their
-    lines but for the first row's. A null doc_id comes last in the choice of the line that stays.
+    lines but for the first row's. A null doc_id comes last in the choice of the line that stays. An empty table
+    gives no rows. Texts of any length are read whole.
     """
     spark = documents.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "lines")
-    parts = connected_components(line_links(documents, scratch), scratch)
-    split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    rows = documents.select("_row", F.col("doc_id").cast("long"), F.posexplode(F.transform(split, lambda x: F.btrim(x, F.lit(STRIP)))).alias("no", "line")).filter("line <> ''")
-    narrow = rows.select("_row", "doc_id", "no", F.xxhash64("line").alias("lid"))
-    named = scratch.keep(narrow.join(parts.withColumnRenamed("node", "lid"), "lid", "left").select("_row", "doc_id", "no", F.coalesce("component", "lid").alias("class")))
+    found = line_links(documents, scratch)
+    scratch.sweep()
+    parts = connected_components(found, scratch).withColumnRenamed("node", "lid")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = documents.select("_row", F.col("doc_id").cast("long"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    rows = scratch.keep(lines.withColumn("line", F.btrim("line", F.lit(STRIP))).filter("line <> ''").select("_row", "doc_id", "no", F.xxhash64("line").alias("lid")))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "no")
-    several = named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = named.join(several, "class").filter((F.col("first._row") != F.col("_row")) | (F.col("first.no") != F.col("no")))
+    each = rows.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(parts, "lid", "left").filter("n > 1 OR component IS NOT NULL")
+    each = scratch.keep(each.select("lid", F.coalesce("component", "lid").alias("class"), "first"))
+    firsts = each.groupBy("class").agg(F.min("first").alias("first"))
+    # Written, so that the join below reads two plain exchanges and a very common line is dealt over several tasks.
+    stays = scratch.keep(each.select("lid", "class").join(firsts, "class").select("lid", F.col("first._row").alias("_first"), F.col("first.no").alias("_no")))
+    gone = rows.join(stays, "lid").filter((F.col("_first") != F.col("_row")) | (F.col("_no") != F.col("no")))
     by_row = gone.groupBy("_row").agg(F.sort_array(F.collect_list("no")).alias("removed"))
-    counts = documents.select("_row", F.col("doc_id").cast("long"), F.size(split).alias("n_lines"))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines")
+    counts = documents.select("_row", F.col("doc_id").cast("long"), n_lines)
     return counts.join(by_row, "_row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
 def line_digest(documents: DataFrame) -> DataFrame:
-    """Per document the number of its lines, the number and the places of those that go."""
+    """Per document the number of its lines, the number and the places of those that go.
+
+    Nulls, repeated rows, ties, very long texts and empty tables: as in ``removed_lines``. Other columns are not read.
+    """
     scratch = Scratch(documents.sparkSession, "lines")
     found = removed_lines(with_row_id(documents.select("doc_id", "text"), scratch), scratch)
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:
-    """``documents`` with the repeated lines cut out of the texts; every row stays, if need be with an empty text."""
+    """``documents`` with the repeated lines cut out of the texts; every row stays, if need be with an empty text.
+
+    Null texts stay null; of repeated rows the first keeps its lines; ties go as in ``removed_lines``. A column n_chars
+    is counted anew where lines go. Columns of any other name pass through unchanged.
+    """
     scratch = Scratch(documents.sparkSession, "lines")
-    docs = with_row_id(documents, scratch)
-    gone = removed_lines(docs.select("_row", "doc_id", "text"), scratch).filter("size(removed) > 0").select("_row", "removed")
-    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    docs = boxed(documents, scratch)
+    gone = removed_lines(docs.select("_row", "_doc.doc_id", "_doc.text"), scratch).filter("size(removed) > 0").select("_row", "removed")
+    text = F.col("_doc.text")
+    numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     left = F.map_from_arrays("removed", F.col("removed"))
-    joined = docs.join(gone, "_row", "left")
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter(numbered, lambda s: ~F.map_contains_key(left, s["i"])), lambda s: s["x"]), "\n"))
-    has_chars = "n_chars" in documents.columns
-    out = joined.withColumn("text", kept)
-    if has_chars:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return out.select(*documents.columns)
+    cut = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.map_contains_key(left, s["i"])), lambda s: s["x"]), "\n")
+    joined = docs.join(gone, "_row", "left").withColumn("_cut", F.when(F.col("removed").isNotNull(), cut))
+    new = {"text": F.coalesce("_cut", text)}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(F.col("removed").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_cut").cast(documents.schema["n_chars"].dataType))
+    return unboxed(joined, documents, new)

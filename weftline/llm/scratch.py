@@ -8,8 +8,8 @@ folder of our own is set.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -90,6 +90,11 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def sweep(self) -> None:
+        """Lets the driver drop what it no longer refers to, so that executors delete the shuffle files of written tables."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         sc = self.spark.sparkContext
         if sc._jsc is not None and sc._gateway is not None:
@@ -99,18 +104,38 @@ class Scratch:
                 pass
 
 
+#: Plans of these nodes alone give the same rows at the same places each time they run.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "SubqueryAlias", "View", "DataSourceV2ScanRelation"}
+
+
+def _steady(plan) -> bool:
+    name = plan.getClass().getSimpleName()
+    below = plan.children()
+    return name in _STEADY and plan.deterministic() and all(_steady(below.apply(i)) for i in range(below.size()))
+
+
 def with_row_id(df: DataFrame, scratch: Scratch, name: str = "_row") -> DataFrame:
     """``df`` with a long that is unique per row and the same each time the frame is evaluated.
 
     Ids from partition number and position are stable when the plan only scans and projects, as file splits do not
-    change between evaluations. A plan with an exchange or Python in it is written first.
+    change between evaluations. Any other plan is written first. A column of that name is replaced.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if re.search(r"\b(Join|Aggregate|Window|Sort|Repartition\w*|RebalancePartitions|Distinct|\w*Limit|Sample|MapIn\w+|\w*Python\w*|Generate|Union|Deduplicate|Intersect|Except)\b", plan):
+    if not _steady(df._jdf.queryExecution().optimizedPlan()):
         df = scratch.keep(df)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def boxed(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``documents`` as one struct column ``_doc`` beside ``_row``, so that no name of theirs can clash with a working one."""
+    cols = [F.col("`" + c.replace("`", "``") + "`") for c in documents.columns]
+    return with_row_id(documents.select(F.struct(*cols).alias("_doc")), scratch)
+
+
+def unboxed(boxes: DataFrame, documents: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``documents`` again, in their order; ``new`` holds those that change."""
+    return boxes.select(*[(new or {}).get(c, F.col("_doc").getField(c)).alias(c) for c in documents.columns])
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
