@@ -5,6 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 
+def _distinct(sorted_: np.ndarray) -> np.ndarray:
+    """Where a value of a sorted array comes first."""
+    new = np.ones(len(sorted_), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    return new
+
+
+def _size(values: np.ndarray) -> int:
+    return int(np.count_nonzero(_distinct(np.sort(values))))
+
+
 def similar_links(shingles: np.ndarray, owner: np.ndarray, n: int, least: tuple[int, int], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (by place) of a spanning forest of the graph of sets whose similarity is ``least`` (a fraction) or more.
 
@@ -13,14 +24,17 @@ def similar_links(shingles: np.ndarray, owner: np.ndarray, n: int, least: tuple[
     lists of the sets that hold each, so unlike sets cost nothing.
     """
     part, whole = least
-    each, shingle = np.unique(shingles, return_inverse=True)
-    held = np.unique(shingle * n + owner)
-    holder = held % n
-    size = np.bincount(holder, minlength=n)
     if n == 2:
-        like = whole * (len(held) - len(each)) >= part * len(each) and (side is None or side[0] != side[1])
+        second = owner == 1
+        either = _size(shingles)
+        like = whole * (_size(shingles[~second]) + _size(shingles[second]) - either) >= part * either and (side is None or side[0] != side[1])
         return np.arange(int(like)), np.arange(1, 1 + int(like))
-    shingle = held // n
+    order = np.argsort(shingles)
+    code = np.cumsum(_distinct(shingles[order]))
+    held = np.sort(code * n + owner[order])
+    held = held[_distinct(held)]
+    holder, shingle = held % n, held // n - 1
+    size = np.bincount(holder, minlength=n)
     many = np.bincount(shingle)
     begin = np.cumsum(many) - many
     own, ends = shingle[np.argsort(holder, kind="stable")], np.cumsum(size)

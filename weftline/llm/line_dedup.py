@@ -146,6 +146,23 @@ def _texts(batches):
     return _new_lines(batches, emit)
 
 
+def _places(batches):
+    """Rows (_row, doc_id, text) to one row per line that has a word: _row, doc_id, its number and its hash."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            cut = batch.slice(at, 512)
+            row, no, lid = [], [], []
+            for i, text in enumerate(cut.column(2).to_pylist()):
+                for k, line in enumerate((text or "").split("\n")):
+                    line = line.strip(STRIP)
+                    if line:
+                        row.append(i)
+                        no.append(k)
+                        lid.append(line_hash(line))
+            took = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([cut.column(0).take(took), cut.column(1).take(took), pa.array(no, pa.int32()), pa.array(lid, pa.int64())], ["_row", "doc_id", "no", "lid"])
+
+
 def bucket_links(key: np.ndarray, lid: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the sketch-similar lines of each bucket; rows of a bucket are consecutive and may repeat."""
     same = key[1:] == key[:-1]
@@ -218,9 +235,9 @@ def line_links(documents: DataFrame, scratch: Scratch) -> DataFrame:
     text = documents.select("text")
     bands = text.mapInArrow(_bands, "key long, lid long, s1 long, s2 long")
     links = scratch.keep(bands.repartition("key").sortWithinPartitions("key").mapInArrow(link_buckets, "u long, v long"))
-    scratch.sweep()
     clusters = scratch.keep(connected_components(links, scratch).withColumnRenamed("node", "lid"))
     scratch.drop(links)
+    scratch.sweep()  # the bands' shuffle goes before the texts move
     # A large cluster is cut into blocks and verified block against block: no task holds more than two blocks.
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("_k"))
     dealt = block_pairs(clusters, sizes)
@@ -241,11 +258,10 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     ship(spark)
     scratch = scratch or Scratch(spark, "lines")
     found = line_links(documents, scratch)
+    parts = scratch.keep(connected_components(found, scratch).withColumnRenamed("node", "lid"))
+    scratch.drop(found)
     scratch.sweep()
-    parts = connected_components(found, scratch).withColumnRenamed("node", "lid")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = documents.select("_row", F.col("doc_id").cast("long"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    rows = scratch.keep(lines.withColumn("line", F.btrim("line", F.lit(STRIP))).filter("line <> ''").select("_row", "doc_id", "no", F.xxhash64("line").alias("lid")))
+    rows = scratch.keep(documents.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(_places, "_row long, doc_id long, no int, lid long"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "no")
     each = rows.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(parts, "lid", "left").filter("n > 1 OR component IS NOT NULL")
     each = scratch.keep(each.select("lid", F.coalesce("component", "lid").alias("class"), "first"))
@@ -254,6 +270,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     stays = scratch.keep(each.select("lid", "class").join(firsts, "class").select("lid", F.col("first._row").alias("_first"), F.col("first.no").alias("_no")))
     gone = rows.join(stays, "lid").filter((F.col("_first") != F.col("_row")) | (F.col("_no") != F.col("no")))
     by_row = gone.groupBy("_row").agg(F.sort_array(F.collect_list("no")).alias("removed"))
+    text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines")
     counts = documents.select("_row", F.col("doc_id").cast("long"), n_lines)
     return counts.join(by_row, "_row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
