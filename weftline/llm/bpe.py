@@ -9,6 +9,7 @@ layout is encoded text by text.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 import numpy as np
@@ -19,6 +20,9 @@ _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 MEMO_WORDS, MEMO_CHARS = 600_000, 40
 #: Below this character (end of extended Latin) Unicode normal form C changes nothing and letters lower one by one.
 _PLAIN = "\u0250"
+#: Below it: letters (what is left of word characters without numbers) and ASCII marks without the apostrophe.
+_PLAIN_RUN = re.compile(r"[^\W\d_²³¹¼½¾]+|[!-&(-/:-@\[-`{-~]+")
+_PLAIN_WORD = re.compile(r"(?:[^\W\d_²³¹¼½¾]|[!-&(-/:-@\[-`{-~])+")
 
 _encoders: dict[int, Encoder] = {}
 
@@ -62,25 +66,43 @@ def _rank_encoder(parsed: dict, chars: dict[int, str]):
     return tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
 
+class _Memo(dict):
+    """Ids of words met before; a new word is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        code = self.encode(word)
+        if len(word) <= MEMO_CHARS:
+            self[word] = code
+        return code
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; strings of special tokens are ordinary text."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as the library does with ``add_special_tokens=False``.
+
+    None is added, but the string of a special token in a text is that token, as the library has it.
+    """
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.chars = _byte_chars()
         parsed = json.loads(content)
         self.layout = self._layout(parsed)
         self.ranks = _rank_encoder(parsed, self.chars) if self.layout == "ranked" else None
-        self.memo: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.special = [t["content"] for t in parsed.get("added_tokens", [])]
+        self.memo, self.stems = _Memo(self._word), {}
 
     @staticmethod
     def _layout(j: dict) -> str | None:
         """``ranked``: byte-level, merges in order of ids. ``dropped``: white space is dropped, text is lowered."""
+        if any(t.get("normalized") for t in j.get("added_tokens", [])):  # might be found where the text does not hold it
+            return None
         pre = j.get("pre_tokenizer") or {}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not j.get("normalizer") and _in_rank_order(j["model"]):
             return "ranked"
@@ -100,36 +122,35 @@ class Encoder:
             code = self.stems[piece] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
         return code
 
-    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each new word. A run of plain letters, maybe with a full stop or comma, needs no general pattern."""
-        out, odd = {}, []
-        for w in words:
-            s = w.decode().lower()
-            if s.isalpha() and max(s) < _PLAIN:
-                out[w] = self._stem(s)
-            elif s[-1] in ".," and s[:-1].isalpha() and max(s) < _PLAIN:
-                out[w] = self._stem(s[:-1]) + self._stem(s[-1])
-            else:
-                odd.append(w)
-        for i in range(0, len(odd), 4096):
-            part = odd[i : i + 4096]
-            out.update(zip(part, self._direct([w.decode() for w in part]), strict=True))
-        return out
+    def _word(self, w: bytes) -> bytes:
+        """Ids of one word. Runs of plain letters and of ASCII marks but the apostrophe need no general pattern."""
+        if w.isalpha():  # bytes: ASCII letters only
+            return self._stem(w.decode().lower())
+        if w[-1] in b".," and w[:-1].isalpha():
+            return self._stem(w[:-1].decode().lower()) + self._stem(chr(w[-1]))
+        s = w.decode().lower()
+        if max(s) < _PLAIN and _PLAIN_WORD.fullmatch(s):
+            return b"".join(map(self._stem, _PLAIN_RUN.findall(s)))
+        return self._direct([w.decode()])[0]
+
+    def _cut(self, text: str) -> list[bytes]:
+        """Words of a text at ASCII white space, A-Z lowered unless a mark might combine with one of them."""
+        b = text.encode()
+        return (b if b"\xcc" in b or b"\xcd" in b else b.lower()).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.layout is None:
             return self._direct(texts)
-        if self.ranks is not None:
-            return [array("I", self.ranks.encode_ordinary(t)).tobytes() for t in texts]
-        cut = [t.encode().split() for t in texts]  # bytes are split at ASCII white space only
-        here = set().union(*cut)
-        if len(self.memo) + len(here) > MEMO_WORDS:
-            self.memo, self.stems = {}, {}
-        new = here.difference(self.memo)
-        self.memo.update(self._words(list(new)))
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        for w in new:
-            if len(w) > MEMO_CHARS:
-                del self.memo[w]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        if len(self.stems) > MEMO_WORDS:
+            self.stems.clear()
+        out, get = [], self.memo.__getitem__
+        for t in texts:
+            if any(x in t for x in self.special):
+                out += self._direct([t])
+            elif self.ranks is not None:
+                out.append(array("I", self.ranks.encode_ordinary(t)).tobytes())
+            else:
+                out.append(b"".join(map(get, self._cut(t))))
         return out
