@@ -7,10 +7,12 @@ far such a sum can be off, so every row that may be among the k nearest of the l
 the exact measure on the original vectors, however many there are: members of a dense group, closer to each other than
 codewords are, all are.
 
-Centroids, codewords and the number of lists to look into are fitted on a bounded sample (TRAIN_ROWS); every row is
-indexed. A query looks into as many lists as hold PROBE_RECALL of the sample's own nearest neighbours: few where
+Centroids, codewords and the number of lists to look into are fitted on a bounded sample (TRAIN_ROWS, or LIST_ROWS for
+each list if that is more; MOST_LISTS bounds both); every row is indexed. Lists number the root of the rows, so a search
+of every fiftieth row does work in proportion to rows to the power 1.5 (linear in rows per query above MOST_LISTS ** 2). A query looks into as many lists as hold PROBE_RECALL of the sample's own nearest neighbours: few where
 vectors form clusters, many where they do not. Lists are dealt to groups of bounded size by their counted rows, small
-ones together and large ones over several, so a vector that fills a third of the table is searched in many tasks.
+ones together and large ones over several, so a vector that fills a third of the table is searched in many tasks; a group
+that very many queries look into meets them in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch, ship
 
-#: Rows of the sample, coarse centroids at most, sub-vectors at most, codewords of each.
-TRAIN_ROWS, MOST_LISTS, SUBVECTORS, CODEWORDS = 50_000, 4096, 16, 256
+#: Rows of the sample, those of a list in it at least, coarse centroids at most, sub-vectors at most, codewords of each.
+TRAIN_ROWS, LIST_ROWS, MOST_LISTS, SUBVECTORS, CODEWORDS = 50_000, 12, 65_536, 16, 256
 #: Share of the sample's neighbours that must lie in the lists looked into, and sample queries for that.
 PROBE_RECALL, PROBE_QUERIES = 0.98, 400
-#: Rows of a group that is searched at once; slack of sums in double precision.
-GROUP_ROWS, SLACK = 16_384, 1e-9
+#: Rows of a group that is searched at once, and queries; slack of sums in double precision.
+GROUP_ROWS, GROUP_QUERIES, SLACK = 16_384, 8_192, 1e-9
 
 
 def usable(v: Column) -> Column:
@@ -106,8 +108,16 @@ def _raw(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the greatest component is from 0.5 to 1: no square overflows or vanishes.
+
+    Such factors change no digit, so cosines are those of the original vectors.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -162,17 +172,17 @@ def _searching(index: Index, k: int):
             ids, of, off = (rows[c].to_numpy() for c in ("vec_id", "list", "off"))
             codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(ids), -1).astype(np.intp) + np.arange(index.parts) * CODEWORDS
             raw = np.frombuffer(b"".join(rows["v"])).reshape(len(ids), -1)
-            unit = _unit(raw)
+            unit, raw = _unit(raw), _scaled(raw)
             for query_id, q, lists in zip(queries["query_id"].to_numpy(), queries["q"], queries["lists"], strict=True):
                 q, lists = np.frombuffer(q), np.frombuffer(lists, np.int32)
-                u = _unit(q[None])[0]
+                u, q = _unit(q[None])[0], _scaled(q[None])[0]
                 look = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(of, lists, "left"), np.searchsorted(of, lists, "right"), strict=True)])
                 look = look[ids[look] != query_id]
                 near = (index.centroids @ u)[of[look]] + index.tables(u).ravel()[codes[look]].sum(axis=1)
                 may = look[near + off[look] >= _kth(near - off[look], k) - SLACK]
                 score = unit[may] @ u
                 may = may[score >= _kth(score, k) - SLACK]
-                score = _dot(raw[may], q) / (np.sqrt(_dot(q, q)) * np.sqrt(_dot(raw[may], raw[may])))
+                score = np.clip(_dot(raw[may], q) / (np.sqrt(_dot(q, q)) * np.sqrt(_dot(raw[may], raw[may]))), -1, 1)
                 best = np.lexsort((ids[may], -score))[:k]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[may[best]], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
@@ -221,9 +231,11 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, scratch:
         return spark.createDataFrame([], empty)
     v = scratch.keep(v.filter(F.size("v") == sizes["d"]).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("_ask").alias("_ask")))
     n = v.count()
-    sample = v.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(math.ceil(n / TRAIN_ROWS))) == 0).select("vec_id", "v").orderBy("vec_id").limit(2 * TRAIN_ROWS).toArrow()
+    lists = max(1, min(MOST_LISTS, math.isqrt(n)))
+    fit = max(TRAIN_ROWS, LIST_ROWS * lists)
+    sample = v.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(math.ceil(n / fit))) == 0).select("vec_id", "v").orderBy("vec_id").limit(2 * fit).toArrow()
     sample = _unit(_raw(sample.column(1).combine_chunks()))
-    index = Index(sample, max(1, min(MOST_LISTS, math.isqrt(n))))
+    index = Index(sample, lists)
     lists = len(index.centroids)
     coded = scratch.keep(v.select("vec_id", "v", "_ask").mapInArrow(_indexing(index), "vec_id long, list int, codes binary, off double, v binary, _ask boolean"))
     scratch.drop(v)
@@ -231,7 +243,11 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, scratch:
     base, spread = _groups(counts, lists)
     where = spark.createDataFrame([(one, int(base[one]), int(spread[one])) for one in counts], "list int, base int, spread int")
     rows = coded.join(F.broadcast(where), "list").select("vec_id", "list", "codes", "off", "v", (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("spread"))).cast("int").alias("grp"))
-    asked = coded.filter("_ask").select("vec_id", "v").mapInArrow(_probing(index, index.probes_needed(sample, k), base, spread), "query_id long, grp int, q binary, lists binary")
-    found = rows.groupBy("grp").cogroup(asked.groupBy("grp")).applyInPandas(_searching(index, k), "query_id long, vec_id long, score double")
+    asked = scratch.keep(coded.filter("_ask").select("vec_id", "v").mapInArrow(_probing(index, index.probes_needed(sample, k), base, spread), "query_id long, grp int, q binary, lists binary"))
+    # A group that many queries look into is searched once for each part of them.
+    parts = asked.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("_parts"))
+    rows = rows.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    asked = asked.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).drop("_parts")
+    found = rows.groupBy("grp", "part").cogroup(asked.groupBy("grp", "part")).applyInPandas(_searching(index, k), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
