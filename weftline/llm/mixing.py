@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import Scratch, ship, with_row_id, words
+from weftline.llm.scratch import Scratch, boxed, ship, unboxed, with_row_id, words
 
 LEAF_ROWS, FAN_IN = 50_000, 64
 #: The root of a source draws anew, so many times at most, until its last document's rounding is off by no more than
@@ -78,7 +78,7 @@ def off(size: np.ndarray, prob: np.ndarray, drawn: np.ndarray) -> float:
 
 def _round_groups(seed: int, level: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "_row"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["size", "_key", "_row"], ascending=[False, True, True], kind="stable")
         rng = np.random.default_rng([seed, level, int(pdf["_nth"].iloc[0]), int(pdf["_chunk"].iloc[0])])
         size, prob = pdf["size"].to_numpy(), pdf["_p"].to_numpy()
         p = pivotal(size, prob, rng)
@@ -101,10 +101,13 @@ def _round_groups(seed: int, level: int):
 
 
 def mix_copies(items: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
-    """``items`` (_row, source, size, ...) plus source_size, target, and ``copies`` (int): how often the mix takes the row.
+    """``items`` (_row, _key, source, size, ...) plus source_size, target, and ``copies`` (int): how often the mix takes the row.
 
     Rows of null or zero size add nothing to a source and get 0 copies. A source takes its target in words but for
-    at most one rounded row. The draw depends on the seed and the row ids alone, so reruns agree.
+    at most one rounded row. An empty table gives no rows. ``_key`` is a hash of a row's content: the draw depends on
+    the seed and on it alone, so reruns agree however the table is split into files and tasks. Rows of one _key are
+    alike, and it does not matter which of them is taken; only where more than LEAF_ROWS of them repeat are they dealt
+    by _row, and the number taken of them may differ by a few between splits.
     """
     spark = items.sparkSession
     ship(spark)
@@ -114,7 +117,11 @@ def mix_copies(items: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share:
     joined = items.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = joined.withColumn("_whole", F.when(F.col("size") > 0, F.floor(mean)).otherwise(0).cast("int")).withColumn("_p", F.when(F.col("size") > 0, mean - F.floor(mean)).otherwise(0.0))
-    rows = rows.withColumn("_chunks", F.ceil(F.greatest(F.col("_rows"), F.lit(1)) / LEAF_ROWS).cast("long")).withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.col("_chunks"))).drop("_rows")
+    many = items.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > LEAF_ROWS).select("_key", F.lit(True).alias("_many"))
+    salt = F.lit(0)
+    if not many.isEmpty():
+        rows, salt = rows.join(many, "_key", "left"), F.when(F.col("_many"), F.col("_row")).otherwise(F.lit(0))
+    rows = rows.withColumn("_chunks", F.ceil(F.greatest(F.col("_rows"), F.lit(1)) / LEAF_ROWS).cast("long")).withColumn("_chunk", F.pmod(F.xxhash64("_key", salt.cast("long")), F.col("_chunks"))).drop("_rows", "_many")
     is_open = (F.col("_p") > 0) & (F.col("_p") < 1)
     out, level = [rows.filter(~is_open)], 0
     todo = rows.filter(is_open)
@@ -128,15 +135,20 @@ def mix_copies(items: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share:
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)
-    return result.withColumn("copies", (F.col("_whole") + F.col("_p")).cast("int")).drop("_whole", "_p", "_nth", "_chunk", "_chunks")
+    return result.withColumn("copies", (F.col("_whole") + F.col("_p")).cast("int")).drop("_whole", "_p", "_nth", "_chunk", "_chunks", "_key")
 
 
 def _items(documents: DataFrame, *extra: str) -> DataFrame:
-    return documents.select("_row", *extra, F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    key = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.col("text").isNull(), F.col("text"))
+    return documents.select("_row", key.alias("_key"), *extra, F.col("source"), F.size(words(F.col("text"))).cast("long").alias("size"))
 
 
 def mix_digest(documents: DataFrame, seed: int = 42) -> DataFrame:
-    """One row per document: its size, its source's size and target, and the words that the mix takes of it."""
+    """One row per document: its size, its source's size and target, and the words that the mix takes of it.
+
+    Null and empty texts have size 0 and are not taken; a null source is a source, and a null doc_id is kept; repeated
+    rows are documents of their own; texts of any length are counted whole; an empty table gives no rows.
+    """
     scratch = Scratch(documents.sparkSession, "mixing")
     mixed = mix_copies(_items(with_row_id(documents.select("doc_id", "source", "text"), scratch), "doc_id"), seed=seed, scratch=scratch)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -145,9 +157,10 @@ def mix_digest(documents: DataFrame, seed: int = 42) -> DataFrame:
 def mix_documents(documents: DataFrame, seed: int = 42) -> DataFrame:
     """``documents`` as the mix has them: each row as often as it is taken, with the same columns.
 
-    Rows without words carry no mass and are not taken. A null source is a source.
+    Nulls, empties, repeats and ties: as in ``mix_digest``. Columns of any name pass through unchanged.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
-    docs = with_row_id(documents, scratch)
-    copies = mix_copies(_items(docs), seed=seed, scratch=scratch).filter("copies > 0").select("_row", "copies")
-    return docs.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)
+    docs = boxed(documents, scratch)
+    items = _items(docs.select("_row", "_doc.doc_id", "_doc.source", "_doc.text"))
+    copies = mix_copies(items, seed=seed, scratch=scratch).filter("copies > 0").select("_row", "copies")
+    return unboxed(docs.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), documents)
