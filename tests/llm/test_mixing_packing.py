@@ -65,7 +65,6 @@ def test_pieces(spark):
     texts = {1: "Hello world, it's <|endoftext|> fine", 2: None, 3: "", 4: "a b c 123 é ü 漢字\n\n  x " * 400, 5: "don't  stop\t x"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in pack_documents(df).collect():
         by_seq[r.sequence_id].append((r.offset, r.length))

@@ -11,6 +11,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -91,9 +92,14 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def sweep(self) -> None:
-        """Lets the driver drop what it no longer refers to, so that executors delete the shuffle files of written tables."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets the driver drop what it no longer refers to, so that executors delete the shuffle files of written tables.
+
+        The plan of the last write goes with the second collection only, once the first has let go of what holds it.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def close(self) -> None:
         sc = self.spark.sparkContext

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import connected_components
-from weftline.llm.scratch import Scratch, ship, with_row_id
+from weftline.llm.scratch import Scratch, boxed, ship, unboxed, with_row_id
 
 BITS, RADIUS = 64, 2
 #: Fingerprints in a bucket above which it is dealt once more.
@@ -179,16 +179,23 @@ def near_duplicates(documents: DataFrame, text: str = "text", shingle: int = 3,
 
 
 def simhash_digest(documents: DataFrame) -> DataFrame:
-    """Per document: fingerprint in hexadecimal and the least doc_id of its component."""
+    """Per document: fingerprint in hexadecimal and the least doc_id of its component.
+
+    Null and empty texts have fingerprint zero; repeated rows are members like any other; null doc_ids come last; texts
+    of any length are read whole; an empty table gives no rows. Other columns are not read.
+    """
     scratch = Scratch(documents.sparkSession, "simhash")
     found = near_duplicates(with_row_id(documents.select("doc_id", "text"), scratch), scratch=scratch)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """``documents`` with one document of each component: that of the least doc_id."""
+    """``documents`` with one document of each component: that of the least doc_id, of repeated rows the first.
+
+    Nulls, empties, ties and long texts: as in ``simhash_digest``. Columns of any name pass through unchanged.
+    """
     scratch = Scratch(documents.sparkSession, "simhash")
-    docs = with_row_id(documents, scratch)
-    found = near_duplicates(docs, scratch=scratch)
+    docs = boxed(documents, scratch)
+    found = near_duplicates(docs.select("_row", "_doc.doc_id", "_doc.text"), scratch=scratch)
     keep = scratch.keep(found.filter(F.col("first._row") == F.col("_row")).select("_row"))
-    return docs.join(keep, "_row", "left_semi").select(*documents.columns)
+    return unboxed(docs.join(keep, "_row", "left_semi"), documents)
