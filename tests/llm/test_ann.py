@@ -52,3 +52,26 @@ def test_dense_groups(spark):
     assert recall(spark, groups) >= 0.9
     hot = np.where((np.arange(5000) % 3 == 0)[:, None], centres[0] + 0.05 * rng.normal(size=(5000, 64)), rng.normal(size=(5000, 64)))
     assert recall(spark, hot) >= 0.9
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [5e-324, 0.0]), (3, [1e308, -1e308]), (4, [-3.0, 0.0]), (4, [-3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in nearest_neighbours(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [g[0] for g in got] == [2, 1, 3, 4]
+    assert np.allclose([g[1] for g in got], [1, 0.5**0.5, 0.5**0.5, -1], atol=1e-15)
+
+
+def test_recall_on_embeddings(spark):
+    """The table's own queries against brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    have = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect() if r.embedding]
+    ids, x = np.array([h[0] for h in have]), np.array([h[1] for h in have], float)
+    asked = np.flatnonzero(ids % 50 == 0)
+    want = brute(ids, x, asked, 5)
+    got: dict = {}
+    for r in nearest_neighbours(df.withColumn("codes", F.lit("x")), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        a, b = x[ids == r.query_id][0], x[ids == r.vec_id][0]
+        assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
+    assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.9

@@ -73,3 +73,13 @@ def test_shards(spark):
     assert max(total) - min(total) <= 2 * 510
     assert {(r.size, r.text_crc32) for r in got if r.doc_id == 5 and r.size < 20} == {(8, 0), (10, zlib.crc32("é".encode()))}
     assert shard_documents(df.limit(0), 24).count() == 0
+
+
+def test_shards_equal_sql(spark):
+    from compare import connect, rows_of
+    from conftest import SMALL
+
+    from weftline.llm.queries import ORACLE, QUERIES
+
+    df, want = QUERIES["op6_sharding"](spark, SMALL), connect(SMALL).sql(ORACLE["op6_sharding"])
+    assert rows_of(df.collect(), df.columns) == rows_of(want.fetchall(), want.columns)

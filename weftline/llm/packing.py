@@ -142,7 +142,11 @@ def token_pieces(documents: DataFrame, vocab_path: str, capacity: int = 1024, en
 
 
 def pack_documents(documents: DataFrame, vocab_path: str | None = None, capacity: int = 1024, end_id: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """Pieces of all documents with the sequence and the offset at which each stands."""
+    """Pieces of all documents with the sequence and the offset at which each stands.
+
+    A null or empty text is the end id alone; null and repeated doc_ids are kept, repeated rows are packed each; texts of
+    any length are cut whole; an empty table gives no rows. Other columns are not read.
+    """
     import public_tokenizers
 
     pieces = token_pieces(documents, vocab_path or public_tokenizers.path("byte_bpe_50k.json"), capacity, end_id)

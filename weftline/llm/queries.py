@@ -14,6 +14,7 @@ from weftline.llm.packing import pack_documents
 from weftline.llm.passage_dedup import passage_digest
 from weftline.llm.quality import ORACLE_SQL as QUALITY_SQL
 from weftline.llm.quality import quality_digest
+from weftline.llm.sharding import ORACLE_SQL as SHARD_SQL
 from weftline.llm.sharding import shard_documents
 from weftline.llm.simhash import simhash_digest
 from weftline.llm.token_store import store_documents
@@ -77,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passage_dedup": op10_passage_dedup,
 }
 
-ORACLE: dict[str, str] = {"op9_quality": QUALITY_SQL}
+ORACLE: dict[str, str] = {"op6_sharding": SHARD_SQL, "op9_quality": QUALITY_SQL}

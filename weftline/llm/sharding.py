@@ -57,7 +57,7 @@ def shard_by_bytes(df: DataFrame, num_shards: int, size: str, order_by: list[str
             "shard",
             F.least(
                 F.lit(num_shards - 1),
-                F.when(F.col("_all_bytes") > 0, F.floor(F.col("_mid2").cast("decimal(38,0)") * num_shards / (2 * F.col("_all_bytes").cast("decimal(30,0)"))))
+                F.when(F.col("_all_bytes") > 0, F.expr(f"CAST(_mid2 AS DECIMAL(28,0)) * {num_shards} div (2 * CAST(_all_bytes AS DECIMAL(28,0)))"))
                 .otherwise(F.floor(F.col("_row") * num_shards / F.col("_all_rows"))),
             ).cast("int"),
         )
@@ -75,7 +75,29 @@ def write_shards(df: DataFrame, path: str) -> None:
 
 
 def shard_documents(documents: DataFrame, num_shards: int = 24, scratch: Scratch | None = None) -> DataFrame:
-    """The digest of a byte-balanced sharding of documents: one narrow row per document."""
+    """The digest of a byte-balanced sharding of documents: one narrow row per document.
+
+    A null or empty text is 8 bytes, so sizes are never all zero; documents stand in order of doc_id, nulls first;
+    repeated rows each have a slot; texts of any length are measured whole; an empty table gives no rows. Other columns
+    are not read.
+    """
     narrow = documents.select("doc_id", byte_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     out = shard_by_bytes(narrow, num_shards, "size", ["doc_id", "text_crc32", "size"], scratch)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 in SQL: the table from its polynomial (a fixed value), then one step per byte.
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))"
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+#: The digest of shard_documents with 24 shards, for DuckDB.
+ORACLE_SQL = f"""WITH tab AS MATERIALIZED ({_CRC_TABLE}),
+    d AS MATERIALIZED (
+      SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, {_CRC} AS text_crc32 FROM (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents), tab
+    ), p AS (
+      SELECT *, row_number() OVER o AS pos, 2 * sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size AS mid2, sum(size) OVER () AS whole
+      FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)
+    ), s AS (SELECT *, least(23, (mid2::HUGEINT * 24) // (2 * whole)::HUGEINT)::INTEGER AS shard FROM p)
+    SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+      (row_number() OVER (PARTITION BY shard ORDER BY pos) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+    FROM s"""

@@ -212,7 +212,11 @@ def read_digest(manifest: DataFrame) -> DataFrame:
 
 
 def store_documents(documents: DataFrame, vocab_path: str | None = None, end_id: int = 2, uri: str | None = None) -> DataFrame:
-    """Writes all documents' ids in the file format and returns what the files say when read back."""
+    """Writes all documents' ids in the file format and returns what the files say when read back.
+
+    Nulls, repeated rows, ties and empty tables: as in ``write_token_files``; texts of any length are encoded whole.
+    Other columns are not read.
+    """
     import public_tokenizers
 
     scratch = Scratch(documents.sparkSession, "tokens")
