@@ -72,3 +72,14 @@ def test_digest(spark):
     assert np.mean([r.predicted == rows[r.doc_id][1] for r in got if r.held_out]) >= 0.95
     assert T.toxicity_digest(docs.limit(0), labels.limit(0)).count() == 0
     assert {r.predicted for r in T.toxicity_digest(docs, labels.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize(("scale", "least", "wrong"), [("sf0.01", 0.8, 0.1), ("sf0.1", 0.95, 0.02)])
+def test_held_out_labels(spark, scale, least, wrong):
+    """Ranking of held-out labelled documents, and clean ones taken for toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+    got = T.toxicity_digest(docs, labels).filter("held_out").join(labels.filter("toxic IS NOT NULL"), "doc_id").collect()
+    score, toxic = np.array([r.score for r in got]), np.array([r.toxic for r in got])
+    good, bad = score[toxic == 0], score[toxic == 1]
+    assert ((bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2) >= least
+    assert (good >= 0.5).mean() <= wrong

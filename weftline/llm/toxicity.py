@@ -29,6 +29,8 @@ NGRAMS, BUCKETS = (3, 4, 5), 1 << 15
 EACH_CLASS, TRAIN_WORDS, VOCABULARY, LEAST_TEXTS = 2_000, 2_500_000, 30_000, 4
 #: Turns of finding windows and learning, passes over the windows in a turn, windows per step and per clean text, steps of a turn at least.
 TURNS, PASSES, STEP, HARDEST, RATE, LEAST_STEPS = 4, 2, 128, 2, 0.015, 50
+#: Log-likelihood, in nats, by which chance is taken to fall short of its bound, and over which evidence comes to count in full.
+CHANCE, FULL = 2.0, 5.0
 #: Words that a worker remembers, and their characters in all; texts, bytes of texts and windows that it takes at once.
 MEMO_WORDS, MEMO_CHARS, AT_ONCE, BYTES_AT_ONCE, CHUNK = 300_000, 8_000_000, 512, 8_000_000, 1024
 EDGES = ".,;:!?\"'()[]{}<>*_-"
@@ -273,10 +275,19 @@ class _Adam:
 
 
 def _log_odds(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Per column of a count pair (clean texts with it, toxic texts with it): smoothed log-odds, near 0 where rare."""
+    """Per column of a count pair (clean texts with it, toxic texts with it): smoothed log-odds, 0 where chance explains it.
+
+    A column counts as far as its log-likelihood ratio against the common share exceeds what the best of so many
+    columns reaches by chance (the logarithm of their number, less CHANCE), in full from FULL above that.
+    """
     clean, bad = hits
     n0, n1 = (toxic == 0).sum(), (toxic == 1).sum()
-    return np.log((bad + 1) / (n1 + 2)) - np.log((clean + 1) / (n0 + 2)) - np.log((n0 + 2) / (n1 + 2)) * (1 / (1 + clean + bad))
+    n, share = np.maximum(clean + bad, 1), n1 / (n0 + n1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.nan_to_num(bad * np.log(bad / (n * share))) + np.nan_to_num(clean * np.log(clean / (n * (1 - share))))
+    many = max(2, int((clean + bad > 0).sum()))
+    sure = np.clip((ratio - np.log(many) + CHANCE) / FULL, 0, 1)
+    return sure * (np.log((bad + 1) / (n1 + 2)) - np.log((clean + 1) / (n0 + 2)))
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
@@ -305,6 +316,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
     word_odds, gram_odds = _log_odds(in_texts, toxic), _log_odds(gram_texts, toxic)
     net.words[1:, 0] = 0.3 * word_odds[chosen]
     net.grams[:, 0] = 0.3 * gram_odds
+    # What chance explains is no feature: it keeps a zero vector, so no text is learnt by heart through its rare words.
+    live = {"words": np.append(False, word_odds[chosen] != 0), "grams": gram_odds != 0}
+    net.words[~live["words"]], net.grams[~live["grams"]] = 0, 0
     row = np.zeros(len(names), np.int64)
     row[chosen] = np.arange(1, len(chosen) + 1)
     where = [(STRIDE * np.arange(n)).tolist() for n in window_counts(lengths)]
@@ -329,7 +343,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
             order = rng.permutation(len(windows))
             rate = RATE * 0.7 ** (turn + passed / passes)
             for k in range(0, len(order), STEP):
-                _learn_step(net, adam, windows[order[k : k + STEP]], label[order[k : k + STEP]], weight[order[k : k + STEP]], row, buckets, starts, counts, room, rate)
+                _learn_step(net, adam, windows[order[k : k + STEP]], label[order[k : k + STEP]], weight[order[k : k + STEP]], row, buckets, starts, counts, room, rate, live)
     return net
 
 
@@ -367,7 +381,7 @@ def _ranks(net: Network, gates: np.ndarray, docs: list[np.ndarray], where: list[
     return out
 
 
-def _learn_step(net, adam, windows, label, weight, row, buckets, starts, counts, room, rate) -> None:
+def _learn_step(net, adam, windows, label, weight, row, buckets, starts, counts, room, rate, live) -> None:
     used, ids = np.unique(np.append(windows, room), return_inverse=True)
     ids, used = ids[:-1].reshape(windows.shape), used[:-1]  # the room is the greatest number, so the last row
     at = _spread(starts[used], counts[used]) if len(used) else np.empty(0, np.int64)
@@ -383,7 +397,8 @@ def _learn_step(net, adam, windows, label, weight, row, buckets, starts, counts,
     grams, back = np.unique(own, return_inverse=True)
     d_grams = np.zeros((len(grams), DIM), np.float32)
     np.add.at(d_grams, back, np.repeat(d_x[:, DIM:] / np.sqrt(n, dtype=np.float32)[:, None], n, axis=0))
-    adam.step(table | {"words": (rows, d_words), "grams": (grams, d_grams)}, rate)
+    words_on, grams_on = live["words"][rows], live["grams"][grams]
+    adam.step(table | {"words": (rows[words_on], d_words[words_on]), "grams": (grams[grams_on], d_grams[grams_on])}, rate)
 
 
 def held_out(doc_id):
@@ -448,7 +463,11 @@ def score_documents(documents: DataFrame, net: Network, text: str = "text") -> D
 
 
 def toxicity_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fits on the labels that are not held out and scores every document. Repeated rows are scored each."""
+    """Fits on the labels that are not held out and scores every document, empty and null texts too.
+
+    Repeated rows are scored each and null doc_ids are not held out; texts of any length are scored in all their
+    windows; without labels every text has one score; an empty table gives no rows. Other columns are not read.
+    """
     net = train(*training_sample(documents.select("doc_id", "text"), labels))
     found = score_documents(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), net)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
