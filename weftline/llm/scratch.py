@@ -1,8 +1,8 @@
 """Written intermediate tables, stable row ids and code shipping, shared by the operators of this subpackage.
 
 Intermediates are parquet tables in the folder that the cluster names in ``spark.checkpoint.dir``: every executor
-can read them, and losing an executor loses none of them. Only where that setting is absent (tests, a laptop) a
-folder of our own is set.
+can read them, and losing an executor loses none of them. Only where that setting is absent and Spark runs in one
+process (tests, a laptop) a folder of our own is set.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ def shared_root(spark: SparkSession) -> str:
         if known.isDefined():
             root = known.get()
         else:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
             sc.setCheckpointDir(root)
     return root.rstrip("/")
