@@ -156,3 +156,116 @@ def test_ials_fits(spark):
 
 def test_golden_section():
     assert abs(learning.golden_section(lambda x: (x - 0.3) ** 2) - 0.3) < 1e-2
+
+
+def dense_ials(train, test, start, rank, rounds, lam, alpha, eps, fade):
+    """The same model on whole matrices; 0 in ``train`` is no rating, 1 in ``test`` a cell to predict."""
+    seen = train > 0
+    mean = train[seen].mean()
+    left = np.where(seen, train - mean, 0)
+    user = left.sum(1) / np.maximum(seen.sum(1), 1)
+    item = np.where(seen, left - user[:, None], 0).sum(0) / np.maximum(seen.sum(0), 1)
+    said = mean + user[:, None] + item[None]
+    p = np.where(seen, train, np.where(test > 0, said, fade * said))
+    c = 1 + alpha * np.log(1 + (train + test) / eps)
+    known = (train + test) > 0
+    x, y = np.hstack([np.ones((len(train), 1)), np.zeros((len(train), rank))]), np.hstack([np.ones((train.shape[1], 1)), start])
+
+    def side(p, c, known, y, bias):
+        out = np.empty((len(p), rank + 1))
+        for i in range(len(p)):
+            a = (y.T * c[i]) @ y + lam * known[i].sum() * np.eye(rank + 1)
+            out[i] = np.linalg.solve(a, y.T @ (c[i] * (p[i] - bias)))
+        return out[:, 0].copy(), np.hstack([np.ones((len(p), 1)), out[:, 1:]])
+
+    for _ in range(rounds):
+        user, x = side(p, c, known, y, item)
+        item, y = side(p.T, c.T, known.T, x, user)
+    return np.clip(x[:, 1:] @ y[:, 1:].T + user[:, None] + item[None], 1, 5)
+
+
+def test_ials_equals_the_dense_model(spark):
+    rng = np.random.default_rng(4)
+    train = np.where(rng.random((12, 9)) < 0.5, rng.integers(1, 6, (12, 9)), 0).astype(float)
+    test = ((rng.random((12, 9)) < 0.2) & (train == 0)).astype(float)
+    start = np.array([[np.sin(j * 1.7 + i) for i in range(3)] for j in range(9)])
+    want = dense_ials(train, test, start, 3, 2, 0.5, 4.0, 0.3, 0.85)
+    rows = spark.createDataFrame([(int(i), int(j), float(train[i, j])) for i, j in zip(*np.nonzero(train), strict=True)] + [(None, 1, 3.0), (1, None, 3.0)], "user long, item long, rating double")
+    asked = spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(test), strict=True)], "user long, item long")
+    got = learning.ials(rows, 3, 2, 0.5, 4.0, 0.3, 0.85, asked, lambda key, i: F.sin(key * 1.7 + i)).collect()
+    assert len(got) == ((train + test) > 0).sum() and sum(r.rating is None for r in got) == test.sum()
+    assert all(abs(r.prediction - want[r.user, r.item]) < 1e-8 for r in got)
+
+
+def test_series_of_boosters(spark):
+    """Growing depth and falling rate; the model that one goes on from stays as it is. Pruning, importance, step search."""
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 3))
+    d = spark.createDataFrame([(float(a), float(b), float(c), float(2 * (a > 0.4) + (b > 0.7))) for a, b, c in x], "a double, b double, c double, y double")
+    first = learning.boost(d, ["a", "b", "c"], "y", rounds=2, depth=1, rate=0.5)
+    second = learning.boost(d, ["a", "b", "c"], "y", rounds=2, depth=2, rate=0.3, warm=first)
+    assert (len(first.trees), first.rates, second.rates) == (2, [0.5, 0.5], [0.5, 0.5, 0.3, 0.3])
+    error = lambda m: ranking.mse(m.predict(d), "y", "prediction").first()[0]
+    assert error(second) < error(first)
+    share = second.importance()
+    assert abs(sum(share.values()) - 1) < 1e-9 and share["a"] > 0.5
+    one = learning.boost(d, ["a", "b", "c"], "y", rounds=1, depth=3, line_search=True, lam=0.0)
+    assert one.rates[0] > 0.95
+    grown, pruned = (learning.boost(d, ["a", "b", "c"], "y", rounds=1, depth=4, gamma=g, prune=True).trees[0] for g in (0.0, 5.0))
+    assert len(pruned.splits) < len(grown.splits) and all(pruned.gains[n] >= 5 for n in pruned.splits if 2 * n + 1 not in pruned.splits and 2 * n + 2 not in pruned.splits)
+    assert set(pruned.leaves) == {k for n in pruned.splits for k in (2 * n + 1, 2 * n + 2)} - set(pruned.splits)
+    few = learning.boost(d, ["a", "b", "c"], "y", rounds=3, depth=2, max_features=1, seed=1)
+    assert error(few) < d.agg(F.var_pop("y")).first()[0]
+    ties = spark.createDataFrame([(1.0, 0.0), (2.0, 1.0), (2.0, 1.0), (None, 0.0)], "a double, y double")
+    tree = learning.boost(ties, ["a"], "y", rounds=1, depth=1, edges={"a": [2.0]}).trees[0]
+    assert [r[0] > 0 for r in ties.select(tree.value()).collect()] == [False, True, True, False]
+
+
+def test_crossings(spark):
+    df = spark.createDataFrame([(["a", "b"], ["x"], ["1", "2"])], "p array<string>, q array<string>, r array<string>")
+    spaces = {c: F.col(c) for c in "pqr"}
+    got = df.select(learning.crossings(spaces, [("p", "q"), ("p", "q", "r"), ("r", "r")])).first()[0]
+    assert got == ["a^x", "b^x", "a^x^1", "a^x^2", "b^x^1", "b^x^2", "1^2"]
+    rows = [(i, float(i % 3 == 0 and i % 2 == 0), str(i % 3), str(i % 2)) for i in range(60)]
+    d = spark.createDataFrame(rows, "i long, y double, u string, v string")
+    fit = learning.hashed_logit(d, ["u", "v"], [], "y", [("u", "v")], bits=10, max_iter=50, l1=1e-4)
+    assert fit.columns == ["i", "y", "u", "v", "prediction"] and all((r.prediction > 0.5) == (r.y == 1) for r in fit.collect())
+
+
+def test_lambda_gradients_of_first_places(spark):
+    rng = np.random.default_rng(5)
+    rows = [(q, d, float(rng.integers(0, 9)) / 2, int(rng.integers(0, 3)) if q else 0) for q in range(4) for d in range(12)]
+    got = {(r.q, r.d): (r.grad, r.hess) for r in ranking.lambda_gradients(spark.createDataFrame(rows, "q long, d long, s double, y int"), "q", "d", "s", "y", absolute=True, top=5, unit_hessian=True).collect()}
+    for q in range(4):
+        docs = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        weight = [1 / np.log2(p + 2) if p < 5 else 0 for p in range(12)]
+        best = sorted((r[3] for r in docs), reverse=True)[:5]
+        ideal = sum((2**y - 1) / np.log(i + 2) for i, y in enumerate(best)) or 1
+        for i, a in enumerate(docs):
+            grad = hess = 0.0
+            for j, b in enumerate(docs):
+                rho = 1 / (1 + np.exp(min(abs(a[2] - b[2]), 50)))
+                delta = abs((2.0 ** a[3] - 2.0 ** b[3]) * (weight[i] - weight[j])) / ideal
+                grad, hess = grad + np.sign(a[3] - b[3]) * rho * delta, hess + rho * (1 - rho) * delta
+            assert np.allclose(got[q, a[1]], (grad, hess or 1))
+
+
+def test_parts_of_a_table(spark):
+    from weftline.operators import splits
+
+    df = spark.createDataFrame([(i, i % 7 if i % 5 else None) for i in range(200)], "i long, g long")
+    a, b = splits.split(df, "g", 0.5, seed=3)
+    assert a.count() + b.count() == 200 and not {r.g for r in a.collect()} & {r.g for r in b.collect()}
+    both = splits.tagged({"x": a, "y": b.withColumn("z", F.lit(1))})
+    assert both.columns == ["i", "g", "part", "z"] and both.filter("part = 'x' AND z IS NULL").count() == a.count()
+    assert splits.without(df, b, ["g"]).count() == a.count()
+    assert splits.without(df, df.limit(0), ["g"]).count() == 200
+
+
+def test_early_stop_is_counted(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (None, 2)], "src long, dst long")
+    ranks, steps = graph.pagerank_counted(e, steps=200, tolerance=1e-3)
+    assert 1 < steps < 200 and abs(ranks.agg(F.sum("rank")).first()[0] - 1) < 1e-9
+    again, most = graph.pagerank_counted(e, steps=steps)
+    assert most == steps and {r.id: r["rank"] for r in again.collect()} == {r.id: r["rank"] for r in ranks.collect()}
+    assert graph.pagerank_counted(e.limit(0))[1] == 0

@@ -7,6 +7,7 @@ at most nodes x features x bins rows; the driver sees these sums alone and picks
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from weftline.operators.ranking import lambda_gradients
 from weftline.shared import cut
 
-#: Bins of a feature's histogram.
-BINS = 64
+#: Bins of a feature's histogram; trees between two checkpoints of the score.
+BINS, EVERY = 64, 5
 
 
 def best_splits(df: DataFrame, features: list[str], target: str, min_leaf: int = 1) -> DataFrame:
@@ -37,36 +38,63 @@ def best_splits(df: DataFrame, features: list[str], target: str, min_leaf: int =
 
 @dataclass
 class Tree:
-    """Splits (feature, threshold) and leaf values by heap number: children of n are 2n + 1 and 2n + 2."""
+    """Splits (feature, threshold) with their gains, and leaf values, by heap number: children of n are 2n + 1 and 2n + 2."""
 
     splits: dict[int, tuple[str, float]] = field(default_factory=dict)
     leaves: dict[int, float] = field(default_factory=dict)
+    gains: dict[int, float] = field(default_factory=dict)
 
     def value(self, node: int = 0) -> Column:
-        """The tree as one expression; a null feature goes left."""
+        """The tree as one expression; values at or above a threshold go right, others and nulls left."""
         if node not in self.splits:
             return F.lit(float(self.leaves.get(node, 0.0)))
         f, t = self.splits[node]
-        return F.when(F.col(f) > t, self.value(2 * node + 2)).otherwise(self.value(2 * node + 1))
+        return F.when(F.col(f) >= t, self.value(2 * node + 2)).otherwise(self.value(2 * node + 1))
+
+    def pruned(self, gamma: float, values: dict[int, float]) -> Tree:
+        """Without splits of a gain under ``gamma``, from the bottom up; ``values``: what each node would say as a leaf."""
+        splits, leaves = dict(self.splits), dict(self.leaves)
+        for n in sorted(splits, reverse=True):
+            kids = (2 * n + 1, 2 * n + 2)
+            if not any(k in splits for k in kids) and self.gains[n] < gamma:
+                del splits[n]
+                for k in kids:
+                    leaves.pop(k, None)
+                leaves[n] = values[n]
+        return Tree(splits, leaves, {n: g for n, g in self.gains.items() if n in splits})
 
 
 @dataclass
 class Boosted:
+    """Trees with the rate of each."""
+
     start: float
-    rate: float
     loss: str
     trees: list[Tree] = field(default_factory=list)
+    rates: list[float] = field(default_factory=list)
 
     def score(self) -> Column:
         out = F.lit(self.start)
-        for t in self.trees:
-            out = out + self.rate * t.value()
+        for t, rate in zip(self.trees, self.rates, strict=True):
+            out = out + rate * t.value()
         return out
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` plus prediction: a probability under logistic loss."""
-        s = self.score()
-        return df.withColumn("prediction", 1 / (1 + F.exp(-s)) if self.loss == "logistic" else s)
+        out = df.withColumn("_s", F.lit(self.start))
+        for t, rate in zip(self.trees, self.rates, strict=True):
+            out = out.withColumn("_s", F.col("_s") + rate * t.value())
+        s = F.col("_s")
+        return out.withColumn("prediction", 1 / (1 + F.exp(-s)) if self.loss == "logistic" else s).drop("_s")
+
+    def importance(self) -> dict[str, float]:
+        """Each used feature's share of the gain of all splits."""
+        total: dict[str, float] = {}
+        for t in self.trees:
+            for n, (f, _) in t.splits.items():
+                total[f] = total.get(f, 0.0) + t.gains[n]
+        whole = sum(total.values())
+        return {f: g / whole for f, g in sorted(total.items())} if whole else {}
 
 
 def _edges_of(df: DataFrame, features: list[str]) -> dict[str, list[float]]:
@@ -74,76 +102,107 @@ def _edges_of(df: DataFrame, features: list[str]) -> dict[str, list[float]]:
     return {f: sorted(set(q)) for f, q in zip(features, got, strict=True)}
 
 
-def _grow(df: DataFrame, edges: dict[str, list[float]], depth: int, lam: float, gamma: float, min_leaf: int) -> Tree:
-    """``df``: grad, hess and features. Gains follow the second order of the loss; splits without gain are not made."""
-    tree = Tree()
+def binned(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """``df`` plus ``_bins``, an array with the number of edges at or below each feature's value (0 for null)."""
+
+    def at(f: str, q: list[float]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(e)) for e in q]), lambda e: F.col(f) >= e)) if q else F.lit(0)
+
+    return df.withColumn("_bins", F.array(*[at(f, q) for f, q in edges.items()]))
 
-    def bin_of(f: str, q: list[float]) -> Column:
-        below = F.size(F.filter(F.array(*[F.lit(float(e)) for e in q]), lambda e: F.col(f) > e)) if q else F.lit(0)
-        return F.struct(F.lit(f).alias("f"), below.alias("b"))
 
-    bins = [bin_of(f, q) for f, q in edges.items()]
-    df = df.withColumn("_bins", F.array(*bins))
+def _grow(df: DataFrame, edges: dict[str, list[float]], depth: int, lam: float, gamma: float, min_leaf: int, max_features: int | None, min_gain: float, prune: bool, seed: int) -> Tree:
+    """``df``: grad, hess, features and _bins. Gains follow the second order of the loss; splits without gain are not made."""
+    tree, values, names, rng = Tree(), {}, list(edges), np.random.default_rng(seed)
     open_nodes = [0]
     for level in range(depth + 1):
-        node = _node(tree)
-        sums = df.withColumn("_node", node).filter(F.col("_node").isin(open_nodes)).select("_node", "grad", "hess", F.explode("_bins").alias("_b")).groupBy("_node", "_b.f", "_b.b").agg(F.sum("grad").alias("g"), F.sum("hess").alias("h"), F.count("*").alias("n")).toPandas()
+        rows_of = df.withColumn("_node", _node(tree)).filter(F.col("_node").isin(open_nodes)).select("_node", "grad", "hess", F.posexplode("_bins").alias("f", "b"))
+        sums = rows_of.groupBy("_node", "f", "b").agg(F.sum("grad").alias("g"), F.sum("hess").alias("h"), F.count("*").alias("n")).toPandas()
         ahead = []
         for n, rows in sums.groupby("_node"):
             one = rows[rows["f"] == rows["f"].iloc[0]]
             g, h, count = one["g"].sum(), one["h"].sum(), one["n"].sum()
-            best = (0.0, None)
+            values[int(n)] = float(-g / (h + lam))
+            best = (min_gain, None)
+            tried = set(rng.choice(len(names), min(max_features, len(names)), replace=False).tolist()) if max_features else range(len(names))
             for f, part in rows.groupby("f") if level < depth else []:
+                if f not in tried:
+                    continue
                 part = part.sort_values("b")
                 gl, hl, nl = part["g"].cumsum().to_numpy(), part["h"].cumsum().to_numpy(), part["n"].cumsum().to_numpy()
-                gain = gl**2 / (hl + lam) + (g - gl) ** 2 / (h - hl + lam) - g**2 / (h + lam) - gamma
-                gain[(nl < min_leaf) | (count - nl < min_leaf) | (part["b"].to_numpy() >= len(edges[f]))] = -np.inf
+                with np.errstate(divide="ignore", invalid="ignore"):  # without curvature and penalty there is no gain
+                    gain = np.nan_to_num(gl**2 / (hl + lam) + (g - gl) ** 2 / (h - hl + lam) - g**2 / (h + lam), nan=-np.inf, posinf=-np.inf) - (0.0 if prune else gamma)
+                q = edges[names[f]]
+                gain[(nl < min_leaf) | (count - nl < min_leaf) | (part["b"].to_numpy() >= len(q))] = -np.inf
                 at = int(np.argmax(gain))
                 if gain[at] > best[0] + 1e-12:
-                    best = (float(gain[at]), (f, edges[f][int(part["b"].iloc[at])]))
+                    best = (float(gain[at]), (names[f], q[int(part["b"].iloc[at])]))
             if best[1]:
-                tree.splits[int(n)] = best[1]
+                tree.splits[int(n)], tree.gains[int(n)] = best[1], best[0]
                 ahead += [2 * int(n) + 1, 2 * int(n) + 2]
             else:
-                tree.leaves[int(n)] = float(-g / (h + lam))
+                tree.leaves[int(n)] = values[int(n)]
         open_nodes = ahead
         if not ahead:
             break
-    return tree
+    return tree.pruned(gamma, values) if prune else tree
 
 
 def _node(tree: Tree, node: int = 0) -> Column:
     if node not in tree.splits:
         return F.lit(node)
     f, t = tree.splits[node]
-    return F.when(F.col(f) > t, _node(tree, 2 * node + 2)).otherwise(_node(tree, 2 * node + 1))
+    return F.when(F.col(f) >= t, _node(tree, 2 * node + 2)).otherwise(_node(tree, 2 * node + 1))
 
 
-def boost(df: DataFrame, features: list[str], target: str, loss: str = "squared", rounds: int = 10, depth: int = 3, rate: float = 0.3, lam: float = 1.0, gamma: float = 0.0, min_leaf: int = 1, subsample: float = 1.0, group: str | None = None, item: str | None = None, warm: Boosted | None = None) -> Boosted:
+def _loss_of(loss: str, target: str, score: Column) -> Column:
+    if loss == "logistic":
+        return F.log1p(F.exp(-F.abs(score))) + F.greatest(score, F.lit(0.0)) - score * F.col(target)
+    return F.pow(score - F.col(target), F.lit(2.0))
+
+
+def boost(
+    df: DataFrame, features: list[str], target: str, loss: str = "squared", rounds: int = 10, depth: int = 3, rate: float = 0.3, lam: float = 1.0, gamma: float = 0.0, min_leaf: int = 1, subsample: float = 1.0,
+    group: str | None = None, item: str | None = None, warm: Boosted | None = None, edges: dict[str, list[float]] | None = None, max_features: int | None = None, min_gain: float = 0.0, prune: bool = False, line_search: bool = False, seed: int = 0,
+) -> Boosted:
     """Boosted trees for ``squared``, ``logistic`` or ``lambda`` loss (ranking within ``group``).
 
-    Starts from the mean, its log-odds or 0, or from ``warm``. Rows with a null target take no part.
-    """
-    df = cut(df.filter(F.col(target).isNotNull()))
+    Starts from the mean, its log-odds or 0, or goes on from ``warm``, which stays as it is; so a series of boosters of
+    growing depth and falling rate is a series of calls. ``edges``: thresholds to choose from, else quantiles.
+    ``gamma`` is taken from each gain, or with ``prune`` asked of each split from the bottom up once the tree is grown;
+    ``max_features``: tried per node; ``line_search``: the step of each tree is the best in [0, 1] instead of ``rate``
+    (not for ``lambda``). Rows with a null target take no part. Rows of a query without pairs have no slope. Features
+    are binned once; the score so far is a column, checkpointed every few trees.
+    """
+    df = df.filter(F.col(target).isNotNull())
     mean = df.agg(F.avg(target)).first()[0]
+    model = Boosted(warm.start, loss, list(warm.trees), list(warm.rates)) if warm else Boosted(0.0, loss)
     if mean is None:
-        return warm or Boosted(0.0, rate, loss)
+        return model
     share = min(max(mean, 1e-6), 1 - 1e-6)
-    model = warm or Boosted({"squared": float(mean), "logistic": float(np.log(share / (1 - share))), "lambda": 0.0}[loss], rate, loss)
-    edges = _edges_of(df, features)
+    if not warm:
+        model.start = {"squared": float(mean), "logistic": float(np.log(share / (1 - share))), "lambda": 0.0}[loss]
+    edges = edges or _edges_of(df, features)
+    df = cut(binned(df, edges).withColumn("_s", model.score()))
     for r in range(rounds):
-        scored = df.withColumn("_s", model.score())
-        if subsample < 1:
-            scored = scored.sample(subsample, seed=r)
+        scored = df.sample(subsample, seed=seed + r) if subsample < 1 else df
         if loss == "lambda":
             slopes = lambda_gradients(scored, group, item, "_s", target).select(group, item, (-F.col("grad")).alias("grad"), "hess")
-            scored = scored.join(slopes, [group, item])
+            scored = scored.join(slopes, [group, item], "left").na.fill(0.0, ["grad", "hess"])
         elif loss == "logistic":
             p = 1 / (1 + F.exp(-F.col("_s")))
             scored = scored.withColumn("grad", p - F.col(target)).withColumn("hess", p * (1 - p))
         else:
             scored = scored.withColumn("grad", F.col("_s") - F.col(target)).withColumn("hess", F.lit(1.0))
-        model.trees.append(_grow(scored, edges, depth, lam, gamma, min_leaf))
+        tree, step = _grow(scored, edges, depth, lam, gamma, min_leaf, max_features, min_gain, prune, seed + r), rate
+        if line_search and loss != "lambda":
+            here = cut(df.select(F.col(target), "_s", tree.value().alias("_t")))
+            step = golden_section(lambda x, here=here: here.agg(F.avg(_loss_of(loss, target, F.col("_s") + x * F.col("_t")))).first()[0])
+        model.trees.append(tree)
+        model.rates.append(step)
+        df = df.withColumn("_s", F.col("_s") + step * tree.value())
+        if (r + 1) % EVERY == 0 or loss == "lambda":
+            df = cut(df)
     return model
 
 
@@ -165,10 +224,12 @@ def golden_section(loss, low: float = 0.0, high: float = 1.0, tolerance: float =
 
 
 def biases(ratings: DataFrame) -> DataFrame:
-    """kind (user or item), id and the mean rating's distance from that of all."""
+    """kind (user or item), id and bias: a user's mean distance from the mean of all, then an item's mean of what is left."""
     mean = F.broadcast(ratings.agg(F.avg("rating").alias("_m")))
-    side = lambda k: ratings.groupBy(F.col(k).alias("id")).agg(F.avg("rating").alias("_a")).select(F.lit(k).alias("kind"), "id", "_a")
-    return side("user").unionByName(side("item")).crossJoin(mean).select("kind", "id", (F.col("_a") - F.col("_m")).alias("bias"))
+    left = ratings.select("user", "item", "rating").crossJoin(mean).withColumn("_c", F.col("rating") - F.col("_m"))
+    users = left.groupBy("user").agg(F.avg("_c").alias("bias"))
+    items = left.join(users, "user").groupBy("item").agg(F.avg(F.col("_c") - F.col("bias")).alias("bias"))
+    return users.select(F.lit("user").alias("kind"), F.col("user").alias("id"), "bias").unionByName(items.select(F.lit("item").alias("kind"), F.col("item").alias("id"), "bias"))
 
 
 def confidence(ratings: DataFrame, alpha: float = 1.0, eps: float = 1.0) -> DataFrame:
@@ -176,54 +237,77 @@ def confidence(ratings: DataFrame, alpha: float = 1.0, eps: float = 1.0) -> Data
     return ratings.groupBy("user", "item").agg(F.sum("rating").alias("rating")).withColumn("weight", 1 + alpha * F.log(1 + F.col("rating") / eps))
 
 
-def _solve(rank: int, lam: float, side: str):
+def _solve(rank: int, lam: float, side: str, gram: np.ndarray, plain: np.ndarray, rest: np.ndarray):
+    """Rows of sums per ``side`` to its vector: the bias first, then the factors."""
+
     def work(frames):
-        upper = np.triu_indices(rank)
+        n = rank + 1
+        upper = np.triu_indices(n)
         for pdf in frames:
-            a = np.zeros((len(pdf), rank, rank))
+            a = np.zeros((len(pdf), n, n))
             a[:, upper[0], upper[1]] = pdf[[f"a{i}" for i in range(len(upper[0]))]].to_numpy()
-            a = a + a.transpose(0, 2, 1) - a * np.eye(rank) + lam * np.eye(rank)
-            x = np.linalg.solve(a, pdf[[f"b{i}" for i in range(rank)]].to_numpy()[:, :, None])[:, :, 0]
+            a = a + a.transpose(0, 2, 1) - a * np.eye(n) + gram + lam * pdf["n"].to_numpy()[:, None, None] * np.eye(n)
+            b = pdf[[f"b{i}" for i in range(n)]].to_numpy() + pdf["_base"].to_numpy()[:, None] * plain + rest
+            x = np.linalg.solve(a, b[:, :, None])[:, :, 0]
             yield pd.DataFrame({side: pdf[side].to_numpy(), "v": list(x)})
 
     return work
 
 
-def ials(ratings: DataFrame, rank: int = 8, rounds: int = 5, lam: float = 0.1, alpha: float = 1.0, eps: float = 1.0) -> DataFrame:
-    """user, item, rating and prediction (in [1, 5]) of weighted least squares with biases, in turns over the sides.
+def ials(ratings: DataFrame, rank: int = 8, rounds: int = 5, lam: float = 5.0, alpha: float = 40.0, eps: float = 0.13, fade: float = 0.85, test: DataFrame | None = None, start=None) -> DataFrame:
+    """user, item, rating and prediction (in [1, 5]) by implicit-feedback least squares with biases, in turns over the sides.
 
-    Each half round joins the ratings with the other side's vectors and sums up normal equations per row by an
-    aggregation with partial sums, so a user or item with very many ratings is no task of its own.
-    """
-    r = ratings.groupBy("user", "item").agg(F.avg("rating").alias("rating")).withColumn("_c", 1 + alpha * F.log(1 + F.col("rating") / eps))
-    b = biases(ratings)
-    of = lambda k: b.filter(F.col("kind") == k).select(F.col("id").alias(k), F.col("bias").alias(f"_b{k}"))
-    mean = F.broadcast(ratings.agg(F.avg("rating").alias("_m")))
-    r = r.join(of("user"), "user").join(of("item"), "item").crossJoin(mean).withColumn("_base", F.col("_m") + F.col("_buser") + F.col("_bitem"))
-    r = cut(r.select("user", "item", "rating", "_c", "_base", (F.col("rating") - F.col("_base")).alias("_y")))
+    Every cell of the matrix has a value: a rating, or what the biases say, in full for cells of ``test`` (user, item)
+    and times ``fade`` for the others; confidence is 1 + alpha * ln(1 + (rating, or 1 in test) / eps), so 1 for the
+    others. Biases are learnt anew in each half round as one coordinate, and ``lam`` counts once per known cell of a
+    row. Other cells are never made: what they add to the normal equations of a row is the same few sums over the other
+    side's vectors (at most (rank + 2) ** 2 numbers, which the driver sees), plus a correction per known cell.
 
-    def start(side: str) -> DataFrame:
-        parts = [(F.pmod(F.xxhash64(side, F.lit(i)), F.lit(2001)) / 1000.0 - 1) * 0.1 for i in range(rank)]
-        return r.select(side).distinct().withColumn("v", F.array(*parts))
+    Each half round joins the known cells with the other side's vectors and sums up per row by an aggregation with
+    partial sums, so a user or item with very many ratings is no task of its own. Repeated ratings of a cell count by
+    their mean. Rows with a null user, item or rating take no part; test cells have a null rating in the result.
+    ``start(key, i)`` gives the i-th factor of an item to begin with; by default a hash in [-1, 1].
+    """
+    known = ratings.filter("user IS NOT NULL AND item IS NOT NULL AND rating IS NOT NULL").groupBy("user", "item").agg(F.avg("rating").alias("rating"))
+    first = biases(known)
+    mean = known.agg(F.avg("rating")).first()[0] or 0.0
+    cells = known
+    if test is not None:
+        cells = cells.unionByName(test.filter("user IS NOT NULL AND item IS NOT NULL").select("user", "item").distinct().join(known, ["user", "item"], "left_anti").withColumn("rating", F.lit(None).cast("double")))
+    of = lambda k: first.filter(F.col("kind") == k).select(F.col("id").alias(k), F.col("bias").alias(f"_b{k}"))
+    r = cells.join(of("user"), "user", "left").join(of("item"), "item", "left").na.fill(0.0, ["_buser", "_bitem"])
+    said = F.lit(mean) + F.col("_buser") + F.col("_bitem")
+    r = cut(r.select("user", "item", "rating", "_buser", "_bitem", (alpha * F.log(1 + F.coalesce("rating", F.lit(1.0)) / eps)).alias("_c1"), F.coalesce("rating", said).alias("_p"), (fade * said).alias("_q")))
+    pick = start or (lambda key, i: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(2001)) / 1000.0 - 1)
 
     def half(side: str, other: str, vectors: DataFrame) -> DataFrame:
+        """``vectors`` (other, v): the other side's bias and factors."""
+        y = [F.lit(1.0)] + [F.element_at("v", i + 2) for i in range(rank)]
+        own = F.element_at("v", 1)
+        pairs = [(p, q) for p in range(rank + 1) for q in range(p, rank + 1)]
+        whole = vectors.join(r.groupBy(other).agg(F.first(f"_b{other}").alias("_b0")), other)
+        sums = whole.agg(*[F.sum(y[p] * y[q]) for p, q in pairs], *[F.sum((fade * F.col("_b0") - own) * y[p]) for p in range(rank + 1)]).first()
+        gram = np.zeros((rank + 1, rank + 1))
+        for i, (p, q) in enumerate(pairs):
+            gram[p, q] = gram[q, p] = sums[i]
+        rest = np.array(sums[len(pairs) :], float)
         j = r.join(vectors, other)
-        v = [F.element_at("v", i + 1) for i in range(rank)]
-        pairs = [(p, q) for p in range(rank) for q in range(p, rank)]
-        sums = [F.sum(F.col("_c") * v[p] * v[q]).alias(f"a{i}") for i, (p, q) in enumerate(pairs)] + [F.sum(F.col("_c") * F.col("_y") * v[p]).alias(f"b{p}") for p in range(rank)]
+        left = (1 + F.col("_c1")) * (F.col("_p") - own) - (F.col("_q") - own)
+        aggs = [F.sum(F.col("_c1") * y[p] * y[q]).alias(f"a{i}") for i, (p, q) in enumerate(pairs)] + [F.sum(left * y[p]).alias(f"b{p}") for p in range(rank + 1)]
+        base = (fade * (F.lit(mean) + F.first(f"_b{side}"))).alias("_base")
         kind = dict(r.dtypes)[side]
-        return cut(j.groupBy(side).agg(*sums).mapInPandas(_solve(rank, lam, side), f"`{side}` {kind}, v array<double>"))
+        return cut(j.groupBy(side).agg(*aggs, base, F.count("*").alias("n")).mapInPandas(_solve(rank, lam, side, gram, gram[0], rest), f"`{side}` {kind}, v array<double>"))
 
-    items = start("item")
-    users = None
+    items = r.groupBy("item").agg(F.first("_bitem").alias("_b")).select("item", F.array("_b", *[pick(F.col("item"), i).cast("double") for i in range(rank)]).alias("v"))
+    users = r.groupBy("user").agg(F.first("_buser").alias("_b")).select("user", F.array("_b", *[F.lit(0.0) for _ in range(rank)]).alias("v"))
     for _ in range(rounds):
         users = half("user", "item", items)
         items = half("item", "user", users)
-    if users is None:
-        users = start("user")
     j = r.join(users.withColumnRenamed("v", "_u"), "user").join(items, "item")
-    dot = F.aggregate(F.zip_with("_u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return j.select("user", "item", "rating", F.least(F.greatest(F.col("_base") + dot, F.lit(1.0)), F.lit(5.0)).alias("prediction"))
+    dot = F.element_at("_u", 1) + F.element_at("v", 1)
+    for i in range(rank):
+        dot = dot + F.element_at("_u", i + 2) * F.element_at("v", i + 2)
+    return j.select("user", "item", "rating", F.least(F.greatest(dot, F.lit(1.0)), F.lit(5.0)).alias("prediction"))
 
 
 def ensemble(predictions: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -254,14 +338,48 @@ def vw_line(label: Column, token: Column) -> Column:
     return F.concat(label.cast("string"), F.lit(" | "), F.concat_ws(" ", token))
 
 
-def hashed_logit(df: DataFrame, columns: list[str], lists: list[str], target: str, interactions: list[tuple[str, str]] = (), bits: int = 18, max_iter: int = 10) -> DataFrame:
-    """``df`` plus prediction: logistic regression on hashed tokens and on crossings of pairs of columns."""
+def crossings(spaces: dict[str, Column], interactions: list[tuple[str, ...]]) -> Column:
+    """One token per combination of the tokens (arrays of text) of each interaction's namespaces.
+
+    An interaction names two namespaces or more, for instance ("a", "b", "c"); one that is named twice is crossed with
+    itself, each set of its tokens once and no token with itself.
+    """
+    numbered = lambda c: F.transform(c, lambda x, i: F.struct(x.alias("t"), i.alias("i")))
+
+    def crossed(out: Column, other: Column, same: bool) -> Column:
+        def one(s):
+            both = F.transform(other, lambda x, i: F.struct(F.concat_ws("^", s["t"], x).alias("t"), i.alias("i")))
+            return F.filter(both, lambda y: y["i"] > s["i"]) if same else both
+
+        return F.flatten(F.transform(out, one))
+
+    made = []
+    for names in interactions:
+        out = numbered(spaces[names[0]])
+        for before, name in pairwise(names):
+            out = crossed(out, spaces[name], before == name)
+        made.append(F.transform(out, lambda s: s["t"]))
+    return F.concat(*made) if made else F.array().cast("array<string>")
+
+
+def _named(column: str) -> Column:
+    return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"{column}_"), x.cast("string")))
+
+
+def hashed_logit(df: DataFrame, columns: list[str], lists: list[str], target: str, interactions: list[tuple[str, ...]] = (), bits: int = 18, max_iter: int = 10, l1: float = 0.0, l2: float = 1e-6) -> DataFrame:
+    """``df`` plus prediction: logistic regression on hashed tokens and on crossings of two or more columns.
+
+    Every column and list is a namespace of its own. ``max_iter``: passes over the data; ``l1`` and ``l2``: weights of
+    the penalties. Null values have no token; rows with a null target raise.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
-    crossed = [F.concat_ws("^", F.lit(a), F.col(a).cast("string"), F.lit(b), F.col(b).cast("string")) for a, b in interactions]
-    named = df.withColumn("_t", F.concat(tokens(columns, lists), F.array(*crossed).cast("array<string>")))
+    spaces = {c: F.array_compact(F.array(F.concat(F.lit(f"{c}_"), F.col(c).cast("string")))) for c in columns}
+    spaces |= {c: _named(c) for c in lists}
+    named = df.withColumn("_t", F.concat(tokens(columns, lists), crossings(spaces, list(interactions))))
     hashed = HashingTF(inputCol="_t", outputCol="_f", numFeatures=1 << bits, binary=True).transform(named)
-    model = LogisticRegression(featuresCol="_f", labelCol=target, maxIter=max_iter, regParam=1e-6).fit(hashed)
+    whole = l1 + l2
+    model = LogisticRegression(featuresCol="_f", labelCol=target, maxIter=max_iter, regParam=whole, elasticNetParam=l1 / whole if whole else 0.0).fit(hashed)
     return model.transform(hashed).withColumn("_p", vector_to_array("probability")[1]).drop("prediction").withColumn("prediction", F.col("_p")).select(*df.columns, "prediction")

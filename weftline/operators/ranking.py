@@ -65,21 +65,46 @@ def log_loss(df: DataFrame, truth: str, probability: str, edge: float = 1e-15) -
     return df.agg((-F.avg(F.col(truth) * F.log(p) + (1 - F.col(truth)) * F.log(1 - p))).alias("log_loss"))
 
 
-def lambda_gradients(df: DataFrame, group: str, item: str, score: str, label: str, most: float = 50.0) -> DataFrame:
+def mse(df: DataFrame, truth: str, prediction: str) -> DataFrame:
+    return df.agg(F.avg(F.pow(F.col(prediction) - F.col(truth), F.lit(2.0))).alias("mse"))
+
+
+def lambda_gradients(df: DataFrame, group: str, item: str, score: str, label: str, most: float = 50.0, absolute: bool = False, top: int | None = None, unit_hessian: bool = False) -> DataFrame:
     """group, item, grad, hess of the pairwise ranking loss weighted by the change of normalised gain.
 
-    Pairs of different labels are joined within a query by ranked rows; the better document pulls up, the worse down.
-    Differences of scores stop at ``most``. Queries hold few documents by nature; larger ones should be cut first.
+    The better document of a pair pulls up, the worse down; pairs of equal labels are none. Differences of scores stop
+    at ``most``; ``absolute``: their size alone counts. ``top``: only so many first places weigh, and the ideal gain is
+    that of as many documents, with natural logarithms and 0 read as 1; pairs then hold one of those places, so a group
+    of any size has a number of pairs in proportion to it. Without ``top`` every pair of a group counts, which is for
+    groups of bounded size. ``unit_hessian``: a row without curvature has 1. Only rows that are in a pair are returned,
+    but all of them with ``unit_hessian``.
     """
     w = Window.partitionBy(group)
     ranked = df.withColumn("_p", F.row_number().over(w.orderBy(F.desc(score), item))).withColumn("_i", F.row_number().over(w.orderBy(F.desc(label), item)))
-    ranked = ranked.withColumn("_g", F.pow(F.lit(2.0), F.col(label)) - 1).withColumn("_ideal", F.sum(F.col("_g") / F.log2(F.col("_i") + 1.0)).over(w))
-    side = lambda s: ranked.select(group, *[F.col(c).alias(f"{s}{c}") for c in (item, score, label, "_p", "_g", "_ideal")])
-    pairs = side("a").join(side("b"), group).filter(F.col(f"a{label}") > F.col(f"b{label}"))
-    gap = F.greatest(F.least(F.col(f"a{score}") - F.col(f"b{score}"), F.lit(most)), F.lit(-most))
+    gain = F.pow(F.lit(2.0), F.col(label)) - 1
+    if top is None:
+        ideal, weight = F.sum(gain / F.log2(F.col("_i") + 1.0)).over(w), 1 / F.log2(F.col("_p") + 1.0)
+    else:
+        ideal = F.sum(F.when(F.col("_i") <= top, gain / F.log(F.col("_i") + 1.0)).otherwise(0.0)).over(w)
+        ideal = F.when(ideal == 0, F.lit(1.0)).otherwise(ideal)
+        weight = F.when(F.col("_p") <= top, 1 / F.log2(F.col("_p") + 1.0)).otherwise(0.0)
+    ranked = ranked.withColumn("_g", gain).withColumn("_ideal", ideal).withColumn("_w", weight)
+    side = lambda s: ranked.select(group, *[F.col(c).alias(f"{s}{c}") for c in (item, score, label, "_p", "_g", "_ideal", "_w")])
+    if top is None:
+        pairs = side("a").join(side("b"), group).filter(F.col(f"a{label}") > F.col(f"b{label}"))
+    else:  # b is one of the first places; a pair of two of them is taken once
+        pairs = side("a").join(side("b").filter(F.col("b_p") <= top), group).filter(F.col(f"a{label}") != F.col(f"b{label}"))
+        pairs = pairs.filter((F.col("a_p") > top) | (F.col("a_p") < F.col("b_p")))
+    sign = F.when(F.col(f"a{label}") > F.col(f"b{label}"), 1.0).otherwise(-1.0)
+    apart = (F.col(f"a{score}") - F.col(f"b{score}")) * sign
+    gap = F.least(F.abs(apart), F.lit(most)) if absolute else F.greatest(F.least(apart, F.lit(most)), F.lit(-most))
     rho = 1 / (1 + F.exp(gap))
-    delta = F.abs((F.col("a_g") - F.col("b_g")) * (1 / F.log2(F.col("a_p") + 1.0) - 1 / F.log2(F.col("b_p") + 1.0))) / F.col("a_ideal")
-    scored = pairs.withColumn("_l", rho * delta).withColumn("_h", rho * (1 - rho) * delta)
+    delta = F.abs((F.col("a_g") - F.col("b_g")) * (F.col("a_w") - F.col("b_w"))) / F.col("a_ideal")
+    scored = pairs.withColumn("_l", sign * rho * delta).withColumn("_h", rho * (1 - rho) * delta)
     up = scored.select(group, F.col(f"a{item}").alias(item), F.col("_l").alias("grad"), F.col("_h").alias("hess"))
     down = scored.select(group, F.col(f"b{item}").alias(item), (-F.col("_l")).alias("grad"), F.col("_h").alias("hess"))
-    return up.unionByName(down).groupBy(group, item).agg(F.sum("grad").alias("grad"), F.sum("hess").alias("hess"))
+    both = up.unionByName(down)
+    if unit_hessian:
+        both = both.unionByName(df.select(group, item, F.lit(0.0).alias("grad"), F.lit(0.0).alias("hess")))
+    sums = both.groupBy(group, item).agg(F.sum("grad").alias("grad"), F.sum("hess").alias("hess"))
+    return sums.withColumn("hess", F.when(F.col("hess") == 0, F.lit(1.0)).otherwise(F.col("hess"))) if unit_hessian else sums

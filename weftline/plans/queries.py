@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators import clicks, extremes, graph, learning, ranking, text_stats, web
+from weftline.operators import clicks, extremes, graph, learning, ranking, splits, text_stats, web
 from weftline.shared import new_folder
 from weftline.sources import binary
+from weftline.sources import text as text_source
 from weftline.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +77,7 @@ def term_frequency(spark, sf_dir):
 
 
 _RELEVANCE = """WITH d AS (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents),
-  q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split(lower(text), ' ')[1:5]) AS word FROM benchmark),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark),
   s AS (SELECT avg(len(ws))::DOUBLE AS mean, count(*)::DOUBLE AS n FROM d),
   t AS (SELECT doc_id, length, word, count(*) AS tf FROM (SELECT doc_id, len(ws) AS length, unnest(ws) AS word FROM d) WHERE word IN (SELECT word FROM q) GROUP BY ALL),
   w AS (SELECT word, count(*) AS df FROM t GROUP BY word),
@@ -84,15 +85,11 @@ _RELEVANCE = """WITH d AS (SELECT doc_id, string_split(lower(text), ' ') AS ws F
 """
 
 
-#: The same with the whole text of each item as the query.
-_WHOLE_RELEVANCE = _RELEVANCE.replace("[1:5]", "")
-
-
-def _relevance(spark, sf_dir, whole=False):
-    """Queries are the first five words of an item, or its whole text."""
+def _relevance(spark, sf_dir):
+    """Queries are the whole texts of the benchmark's items."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
     words = F.split(F.lower("text"), " ", -1)
-    return text_stats.relevance(d, b, "doc_id", words, words if whole else F.slice(words, 1, 5))
+    return text_stats.relevance(d, b, "doc_id", words, words)
 
 
 @query("tf_idf", _RELEVANCE + "SELECT query_id, doc_id, round(sum(f * idf), 8) AS tf_idf FROM x GROUP BY ALL")
@@ -105,30 +102,17 @@ def bm25(spark, sf_dir):
     return _relevance(spark, sf_dir).select("query_id", "doc_id", F.round("bm25", 8).alias("bm25"))
 
 
-@query("tf_idf_whole", _WHOLE_RELEVANCE + "SELECT query_id, doc_id, round(sum(f * idf), 8) AS tf_idf FROM x GROUP BY ALL")
-def tf_idf_whole(spark, sf_dir):
-    return _relevance(spark, sf_dir, whole=True).select("query_id", "doc_id", F.round("tf_idf", 8).alias("tf_idf"))
-
-
-@query("bm25_whole", _WHOLE_RELEVANCE + "SELECT query_id, doc_id, round(sum(idf * f * 3 / (f + 2 * (0.25 + 0.75 * l))), 8) AS bm25 FROM x GROUP BY ALL")
-def bm25_whole(spark, sf_dir):
-    return _relevance(spark, sf_dir, whole=True).select("query_id", "doc_id", F.round("bm25", 8).alias("bm25"))
-
-
 @query(
     "cosine_distance",
     """SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
-       FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""",
+       FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id - b.vec_id % 50 WHERE a.vec_id <> b.vec_id""",
 )
 def cosine_distance(spark, sf_dir):
-    """Distances of given pairs, as the reference's operator takes them (a query and the titles found for it).
-
-    The label supplies the pairs: every fiftieth vector with all others of its label. Other pairs, and vectors without
-    a label, are no input.
-    """
+    """Distances of given pairs (a query and a title found for it): each vector with the first of its block of fifty."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("a_id"), F.col("embedding").alias("_q"))
-    return e.join(q, "label").filter("a_id <> vec_id").select("a_id", F.col("vec_id").alias("b_id"), F.round(T.cosine_distance(F.col("_q"), F.col("embedding")), 6).alias("distance"))
+    q = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("_q"))
+    pairs = e.join(q, F.col("a_id") == F.col("vec_id") - F.col("vec_id") % 50).filter("a_id <> vec_id")
+    return pairs.select("a_id", F.col("vec_id").alias("b_id"), F.round(T.cosine_distance(F.col("_q"), F.col("embedding")), 6).alias("distance"))
 
 
 # Hosts and links
@@ -177,24 +161,20 @@ def extract_links(spark, sf_dir):
     return web.extract_links(table(spark, sf_dir, "pages"), "page_id")
 
 
-_LEFT_OUT = "ascii(substr(md5(link), 1, 1)) % 4 <> 0"
-
-
-@query("link_graph_edges", f"""WITH l AS ({_LINKS}) SELECT DISTINCT page_id AS src, md5(link) AS dst FROM l WHERE {_LEFT_OUT}""")
+@query("link_graph_edges", f"WITH l AS ({_LINKS}) SELECT DISTINCT page_id AS src, md5(link) AS dst FROM l")
 def link_graph_edges(spark, sf_dir):
-    """The known urls are three quarters of the link texts, by their hash."""
-    found = web.extract_links(table(spark, sf_dir, "pages"), "page_id")
-    urls = found.select(F.col("link").alias("url"), F.md5("link").alias("id")).distinct().filter("ascii(substr(id, 1, 1)) % 4 <> 0")
-    return web.link_graph(found, urls, "page_id")
-
-
-@query("link_graph_all", f"WITH l AS ({_LINKS}) SELECT DISTINCT page_id AS src, md5(link) AS dst FROM l")
-def link_graph_all(spark, sf_dir):
     """Every link text is a known url."""
     found = web.extract_links(table(spark, sf_dir, "pages"), "page_id")
     return web.link_graph(found, found.select(F.col("link").alias("url"), F.md5("link").alias("id")).distinct(), "page_id")
 
 
+@query("links_of_packed_pages", _LINKS)
+def links_of_packed_pages(spark, sf_dir):
+    """Html that comes as base64 of a zlib stream."""
+    packed = table(spark, sf_dir, "pages").select("page_id", "url", F.base64(text_source.deflate(F.col("html"))).alias("_packed"))
+    return web.extract_links(packed.withColumn("html", text_source.page_html(F.col("_packed"))), "page_id")
+
+
 #: Rules of the four kinds for hosts by their name's last characters, as (SQL condition on host, rules).
 _RULES = [("host LIKE '%.com'", "Disallow: /en\nDisallow: *1$"), ("host LIKE '%.org'", "Disallow: *a*\nDisallow: /fr/"), ("host LIKE '%.net'", "Disallow: /de$\nDisallow: */page"), ("host LIKE '%e%'", "Disallow: 7$")]
 
@@ -286,6 +266,26 @@ def pagerank_sorted(spark, sf_dir):
     return _rounded_rank(graph.pagerank(_edges(spark, sf_dir), 0.9, 3)).orderBy(F.desc("rank"), "id")
 
 
+@query("pagerank_six_steps", _pagerank_sql(True, 6))
+def pagerank_six_steps(spark, sf_dir):
+    return _rounded_rank(graph.pagerank(_edges(spark, sf_dir), 0.9, 6))
+
+
+def _early_sql(most: int, tolerance: float) -> str:
+    """The ranks of the first step in which all move by less than the tolerance, and the step."""
+    head, _ = _pagerank_sql(True, most).rsplit(" SELECT id", 1)
+    moves = ", ".join(f"x{i} AS (SELECT {i} AS step, bool_and(abs(b.rank - a.rank) < {tolerance} * a.rank) AS still FROM r{i - 1} a JOIN r{i} b USING (id))" for i in range(1, most + 1))
+    every = " UNION ALL ".join(f"SELECT * FROM x{i}" for i in range(1, most + 1))
+    ranks = " UNION ALL ".join(f"SELECT {i} AS step, id, rank FROM r{i}" for i in range(1, most + 1))
+    return f"{head}, {moves}, z AS (SELECT coalesce(min(step) FILTER (still), {most})::INTEGER AS steps FROM ({every})) SELECT id, round(rank, 10) AS rank, steps FROM ({ranks}), z WHERE step = steps"
+
+
+@query("pagerank_early_stop", _early_sql(8, 0.1))
+def pagerank_early_stop(spark, sf_dir):
+    ranks, made = graph.pagerank_counted(_edges(spark, sf_dir), 0.9, 8, tolerance=0.1)
+    return _rounded_rank(ranks).withColumn("steps", F.lit(made))
+
+
 def _hits_sql(what: str, steps: int = 3) -> str:
     sql = f"WITH {_EDGES}, r0 AS (SELECT id, 1e-7::DOUBLE AS authority, 1e-7::DOUBLE AS hub FROM v)"
     for i in range(steps):
@@ -511,6 +511,24 @@ def lambda_gradients(spark, sf_dir):
     return ranking.lambda_gradients(_ranked(spark, sf_dir), "q", "d", "s", "y").select("q", "d", (F.round("grad", 8) + 0.0).alias("grad"), F.round("hess", 8).alias("hess"))
 
 
+@query(
+    "lambda_gradients_top5",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS p, row_number() OVER (PARTITION BY q ORDER BY y DESC, d) AS i, pow(2, y) - 1 AS g FROM ({_RANKED})),
+        m AS (SELECT *, coalesce(nullif(sum(CASE WHEN i <= 5 THEN g / ln(i + 1.0) ELSE 0 END) OVER (PARTITION BY q), 0), 1) AS ideal, CASE WHEN p <= 5 THEN 1 / log2(p + 1) ELSE 0 END AS w FROM r),
+        l AS (SELECT a.q, a.d, sign(a.y - b.y) AS way, 1 / (1 + exp(least(abs(a.s - b.s), 50))) AS rho, abs((a.g - b.g) * (a.w - b.w)) / a.ideal AS delta FROM m a JOIN m b ON a.q = b.q AND a.d <> b.d),
+        x AS (SELECT q, d, sum(way * rho * delta) AS g, sum(rho * (1 - rho) * delta) AS h FROM l GROUP BY ALL)
+        SELECT r.q, r.d, round(coalesce(x.g, 0), 8) + 0.0 AS grad, round(CASE WHEN coalesce(x.h, 0) = 0 THEN 1 ELSE x.h END, 8) AS hess FROM r LEFT JOIN x ON r.q = x.q AND r.d = x.d""",
+)
+def lambda_gradients_top5(spark, sf_dir):
+    found = ranking.lambda_gradients(_ranked(spark, sf_dir), "q", "d", "s", "y", absolute=True, top=5, unit_hessian=True)
+    return found.select("q", "d", (F.round("grad", 8) + 0.0).alias("grad"), F.round("hess", 8).alias("hess"))
+
+
+@query("mse", f"SELECT round(avg(pow(s - y, 2)), 8) AS mse FROM ({_RANKED})")
+def mse(spark, sf_dir):
+    return ranking.mse(_ranked(spark, sf_dir), "y", "s").select(F.round("mse", 8).alias("mse"))
+
+
 @query("rmse", f"SELECT round(sqrt(avg(pow(s - y, 2))), 8) AS rmse FROM ({_RANKED})")
 def rmse(spark, sf_dir):
     return ranking.rmse(_ranked(spark, sf_dir), "y", "s").select(F.round("rmse", 8).alias("rmse"))
@@ -522,6 +540,31 @@ def log_loss(spark, sf_dir):
     return ranking.log_loss(r, "t", "p").select(F.round("log_loss", 8).alias("log_loss"))
 
 
+@query("svmlight_rows", f"SELECT y::DOUBLE AS label, q::BIGINT AS qid, [s, 0, d % 7]::DOUBLE[] AS features FROM ({_RANKED})")
+def svmlight_rows(spark, sf_dir):
+    """Ranking rows written as text lines and parsed again; the second feature is never said."""
+    line = F.concat_ws(" ", F.col("y"), F.concat(F.lit("qid:"), "q"), F.concat(F.lit("1:"), "s"), F.concat(F.lit("3:"), F.col("d") % 7), F.lit("# a note"))
+    parsed = text_source.parse_svmlight(_ranked(spark, sf_dir).select(line.alias("value")))
+    return parsed.select("label", "qid", text_source.dense(F.col("features"), 3).alias("features"))
+
+
+_LOG_SQL = f"""WITH {_SESSIONS} SELECT 'q ' || query AS query, c_custkey AS query_id, url || '.com' AS url, md5(url || '.com') AS url_id, count(*) AS shows, count(*) FILTER (click) AS clicks
+    FROM p LEFT JOIN customer ON c_custkey = query GROUP BY ALL"""
+
+
+@query("session_log", _LOG_SQL)
+def session_log(spark, sf_dir):
+    """Sessions written as log lines, parsed with their urls brought to normal form, and resolved: urls are all known, queries in part."""
+    s = sessions(spark, sf_dir)
+    urls = lambda c: F.array_join(F.transform(c, lambda k: F.concat(F.lit("http://www."), k, F.lit(".com/"))), ",")
+    lines = s.select(F.concat(F.lit("q "), "query", F.lit("@7\t"), urls("shown"), F.lit("\t"), urls("clicked")).alias("value"))
+    shown = clicks.positions(clicks.parse_sessions(lines), ["query"])
+    known = shown.select("url", F.md5("url").alias("url_id")).distinct()
+    queries = table(spark, sf_dir, "customer").select(F.concat(F.lit("q "), "c_custkey").alias("query"), F.col("c_custkey").alias("query_id"))
+    found = clicks.resolve(shown, known, queries)
+    return found.groupBy("query", "query_id", "url", "url_id").agg(F.count("*").alias("shows"), F.count_if("click").alias("clicks"))
+
+
 # Learning
 
 _RATINGS = "r AS (SELECT o_custkey AS user, l_partkey AS item, least(5, greatest(1, ceil(l_quantity / 10)))::DOUBLE AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -534,7 +577,8 @@ def ratings(spark, sf_dir):
 
 @query(
     "rating_biases",
-    f"WITH {_RATINGS}, m AS (SELECT avg(rating) AS mean FROM r), u AS (SELECT user AS id, 'user' AS kind, avg(rating) AS a FROM r GROUP BY user UNION ALL SELECT item, 'item', avg(rating) FROM r GROUP BY item) SELECT kind, id, round(a - mean, 8) + 0.0 AS bias FROM u, m",
+    f"""WITH {_RATINGS}, c AS (SELECT user, item, rating - (SELECT avg(rating) FROM r) AS c FROM r), u AS (SELECT user, avg(c) AS b FROM c GROUP BY user)
+        SELECT 'user' AS kind, user AS id, round(b, 8) + 0.0 AS bias FROM u UNION ALL SELECT 'item', item, round(avg(c - b), 8) + 0.0 FROM c JOIN u USING (user) GROUP BY item""",
 )
 def rating_biases(spark, sf_dir):
     return learning.biases(ratings(spark, sf_dir)).withColumn("bias", F.round("bias", 8) + 0.0)
@@ -570,16 +614,42 @@ def cart_split_search(spark, sf_dir):
     return learning.best_splits(_parts(spark, sf_dir), ["p_size", "brand"], "p_retailprice", 2).withColumn("gain", F.round("gain", 2))
 
 
-@query("gbdt_predict")
+#: Thresholds to choose from, so that SQL can name them.
+_STEPS = {"p_size": [5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0], "brand": [13.0, 21.0, 24.0, 31.0, 35.0, 42.0, 51.0]}
+
+
+def _boosted_sql(target: str, loss: str, rounds: int, depth: int, rate: float = 0.3, lam: float = 1.0) -> str:
+    """Boosted trees on two features written out: per level the sums of each node, feature and threshold, and the best."""
+    grid = ", ".join(f"({k}, {e}::DOUBLE)" for k, q in enumerate(_STEPS.values()) for e in q)
+    start = "avg(y)" if loss == "squared" else "ln(avg(y) / (1 - avg(y)))"
+    g, h = ("s - y", "1.0::DOUBLE") if loss == "squared" else ("1 / (1 + exp(-s)) - y", "(1 / (1 + exp(-s))) * (1 - 1 / (1 + exp(-s)))")
+    sql = f"""WITH d AS MATERIALIZED (SELECT p_partkey, p_size::DOUBLE AS a, CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) AS b, ({target})::DOUBLE AS y FROM part),
+      grid AS (SELECT * FROM (VALUES {grid}) AS t(f, e)), s0 AS MATERIALIZED (SELECT d.*, (SELECT {start} FROM d) AS s FROM d)"""
+    for r in range(rounds):
+        sql += f", n{r}_0 AS MATERIALIZED (SELECT *, 0 AS node, {g} AS g, {h} AS h FROM s{r})"
+        for k in range(depth):
+            sql += f""", c{r}_{k} AS (SELECT node, f, e, sum(g) FILTER (v < e) AS gl, sum(h) FILTER (v < e) AS hl, sum(g) AS gt, sum(h) AS ht, count(*) FILTER (v < e) AS nl, count(*) AS nt
+                FROM (SELECT n.*, f, e, CASE WHEN f = 0 THEN a ELSE b END AS v FROM n{r}_{k} n, grid WHERE node >= {2**k - 1}) GROUP BY node, f, e),
+              b{r}_{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, e) AS i
+                FROM (SELECT *, gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / (ht - hl + {lam}) - gt * gt / (ht + {lam}) AS gain FROM c{r}_{k} WHERE nl > 0 AND nl < nt)) WHERE i = 1 AND gain > 1e-12),
+              n{r}_{k + 1} AS MATERIALIZED (SELECT p_partkey, a, b, y, s, CASE WHEN x.node IS NULL THEN n.node WHEN CASE WHEN f = 0 THEN a ELSE b END >= e THEN 2 * n.node + 2 ELSE 2 * n.node + 1 END AS node, n.g, n.h
+                FROM n{r}_{k} n LEFT JOIN b{r}_{k} x ON n.node = x.node)"""
+        sql += f", s{r + 1} AS MATERIALIZED (SELECT p_partkey, a, b, y, s + {rate} * -(sum(g) OVER w) / (sum(h) OVER w + {lam}) AS s FROM n{r}_{depth} WINDOW w AS (PARTITION BY node))"
+    return sql + f" SELECT p_partkey, round({'s' if loss == 'squared' else '1 / (1 + exp(-s))'}, 6) AS prediction FROM s{rounds}"
+
+
+@query("gbdt_predict", _boosted_sql("p_retailprice", "squared", 3, 3))
 def gbdt_predict(spark, sf_dir):
     d = _parts(spark, sf_dir)
-    return learning.boost(d, ["p_size", "brand"], "p_retailprice", "squared", rounds=3, depth=3).predict(d).select("p_partkey", "prediction")
+    found = learning.boost(d, ["p_size", "brand"], "p_retailprice", "squared", rounds=3, depth=3, edges=_STEPS).predict(d)
+    return found.select("p_partkey", F.round("prediction", 6).alias("prediction"))
 
 
-@query("newton_boost_predict")
+@query("newton_boost_predict", _boosted_sql("p_retailprice * 100 % 7 < 3", "logistic", 3, 3))
 def newton_boost_predict(spark, sf_dir):
-    d = _parts(spark, sf_dir).withColumn("y", (F.col("p_retailprice") > 1200).cast("double"))
-    return learning.boost(d, ["p_size", "brand"], "y", "logistic", rounds=3, depth=3).predict(d).select("p_partkey", "prediction")
+    d = _parts(spark, sf_dir).withColumn("y", (F.col("p_retailprice") * 100 % 7 < 3).cast("double"))
+    found = learning.boost(d, ["p_size", "brand"], "y", "logistic", rounds=3, depth=3, edges=_STEPS).predict(d)
+    return found.select("p_partkey", F.round("prediction", 6).alias("prediction"))
 
 
 @query("lambdamart_rank")
@@ -589,15 +659,57 @@ def lambdamart_rank(spark, sf_dir):
     return ranking.top_k(model.predict(d), "q", "prediction", "d", 1 << 30).select("q", "d", "place")
 
 
-@query("ials_predict")
+def _ials_sql(rounds: int, lam: float = 5.0, alpha: float = 40.0, eps: float = 0.13, fade: float = 0.85) -> str:
+    """One factor beside the bias: each half round solves two equations per row by determinants."""
+    sql = f"""WITH {_RATINGS}, k AS MATERIALIZED (SELECT user, item, avg(rating) AS rating FROM r GROUP BY ALL), m AS (SELECT avg(rating) AS m FROM k),
+      ub AS (SELECT user, avg(rating - m) AS ub FROM k, m GROUP BY user), ib AS (SELECT item, avg(rating - m - ub) AS ib FROM k JOIN ub USING (user), m GROUP BY item),
+      x AS MATERIALIZED (SELECT user, item, rating, ub, ib, {alpha} * ln(1 + rating / {eps}) AS c1, {fade} * (m + ub + ib) AS q FROM k JOIN ub USING (user) JOIN ib USING (item), m),
+      item0 AS (SELECT item, ib AS b0, ib AS b, sin(item * 1.7) AS v FROM ib)"""
+    turn = 0
+    for _ in range(rounds):
+        for side, other, own0 in (("user", "item", "ub"), ("item", "user", "ib")):
+            have = f"{other}{turn if side == 'user' else turn + 1}"
+            now = f"{side}{turn + 1}"
+            sql += f""", w{now} AS (SELECT count(*)::DOUBLE AS g00, sum(v) AS g01, sum(v * v) AS g11, sum({fade} * b0 - b) AS t0, sum(({fade} * b0 - b) * v) AS t1 FROM {have}),
+              p{now} AS (SELECT {side}, any_value({own0}) AS b0, count(*) * {lam} AS l, sum(c1) AS a00, sum(c1 * v) AS a01, sum(c1 * v * v) AS a11, sum((1 + c1) * (rating - b) - (q - b)) AS b0_, sum(((1 + c1) * (rating - b) - (q - b)) * v) AS b1_ FROM x JOIN {have} USING ({other}) GROUP BY {side}),
+              e{now} AS (SELECT {side}, b0, g00 + a00 + l AS a, g01 + a01 AS c, g11 + a11 + l AS d, b0_ + {fade} * (m + b0) * g00 + t0 AS e, b1_ + {fade} * (m + b0) * g01 + t1 AS f FROM p{now}, w{now}, m),
+              {now} AS MATERIALIZED (SELECT {side}, b0, (e * d - c * f) / (a * d - c * c) AS b, (a * f - c * e) / (a * d - c * c) AS v FROM e{now})"""
+        turn += 1
+    return sql + f" SELECT x.user, x.item, round(least(5, greatest(1, u.b + i.b + u.v * i.v)), 6) AS prediction FROM x JOIN user{turn} u USING (user) JOIN item{turn} i USING (item)"
+
+
+@query("ials_predict", _ials_sql(2))
 def ials_predict(spark, sf_dir):
-    return learning.ials(ratings(spark, sf_dir), rank=4, rounds=2).select("user", "item", "prediction")
+    found = learning.ials(ratings(spark, sf_dir), rank=1, rounds=2, start=lambda key, i: F.sin(key * 1.7))
+    return found.select("user", "item", F.round("prediction", 6).alias("prediction"))
 
 
 @query("hashed_logit_predict")
 def hashed_logit_predict(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "purchase").cast("double").alias("y"), F.hour("ts").alias("hour"), "user_id", F.array(F.get_json_object("props", "$.k")).alias("k"))
-    return learning.hashed_logit(e, ["hour", "user_id"], ["k"], "y", interactions=[("hour", "user_id")]).select("event_id", "prediction")
+    return learning.hashed_logit(e, ["hour", "user_id"], ["k"], "y", interactions=[("hour", "user_id"), ("hour", "user_id", "k")]).select("event_id", "prediction")
+
+
+_PLACE = "('0x' || substr(md5('7|' || coalesce({}::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query("row_split", f"SELECT o_orderkey, CASE WHEN {_PLACE.format('o_orderkey')} < 0.8 THEN 'train' ELSE 'valid' END AS part FROM orders")
+def row_split(spark, sf_dir):
+    train, valid = splits.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.8, seed=7)
+    return splits.tagged({"train": train, "valid": valid})
+
+
+@query("group_split", f"SELECT o_custkey, count(*) AS n, CASE WHEN {_PLACE.format('o_custkey')} < 0.5 THEN 'train' ELSE 'valid' END AS part FROM orders GROUP BY o_custkey")
+def group_split(spark, sf_dir):
+    train, valid = splits.split(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 0.5, seed=7)
+    return splits.tagged({"train": train, "valid": valid}).groupBy("o_custkey", "part").agg(F.count("*").alias("n"))
+
+
+@query("train_without_validation", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_PLACE.format('o_orderkey')} >= 0.98)")
+def train_without_validation(spark, sf_dir):
+    """Orders of customers of whom none is held out."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return splits.without(o, splits.split(o, "o_orderkey", 0.98, seed=7)[1], ["o_custkey"])
 
 
 # Sources and the streaming extension

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """As ``spark.checkpoint.dir`` names it; a folder of our own only where that is unset, as in tests."""
+    """As ``spark.checkpoint.dir`` names it; a folder of our own only where that is unset in a local session, as in tests."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or None
     if not root and sc._jsc.sc().getCheckpointDir().isDefined():
         root = sc._jsc.sc().getCheckpointDir().get()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weftline-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)

@@ -47,6 +47,15 @@ def dense(features: Column, n: int, first: int = 1) -> Column:
     return F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda i: F.coalesce(F.try_element_at(features, i), F.lit(0.0)))
 
 
+def deflate(text: Column) -> Column:
+    """Text to zlib streams; null stays null."""
+
+    def encode(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: None if t is None else zlib.compress(t.encode()))
+
+    return F.pandas_udf(encode, "binary")(text)
+
+
 def inflate(raw: Column) -> Column:
     """zlib streams to text; null stays null."""
 
