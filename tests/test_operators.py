@@ -269,3 +269,39 @@ def test_early_stop_is_counted(spark):
     again, most = graph.pagerank_counted(e, steps=steps)
     assert most == steps and {r.id: r["rank"] for r in again.collect()} == {r.id: r["rank"] for r in ranks.collect()}
     assert graph.pagerank_counted(e.limit(0))[1] == 0
+
+
+def test_splits_of_many_records():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(0, 50, 500)
+    for most in (1, 10, 49, 200, 10**6):
+        slow, size = [], 0
+        for n in lengths:
+            if slow and size + n < most:
+                slow[-1], size = slow[-1] + 1, size + n
+            else:
+                slow.append(1)
+                size = n
+        assert [n for _, n in binary.plan_splits(lengths, most)] == slow
+    assert binary.plan_splits([], 10) == []
+
+
+def test_slices_of_an_index_and_torn_messages(spark, tmp_path):
+    binary.register(spark)
+    texts = [f"document {i} é" * (i % 5) for i in range(60)]
+    binary.write_pkz(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), f"{tmp_path}/p")
+    read = spark.read.format("pkz").option("bytesPerSplit", 100).load(f"{tmp_path}/p")
+    assert sorted(r.document for r in read.collect()) == sorted(texts) and read.rdd.getNumPartitions() > 9
+    assert not [f for f in (tmp_path / "p").iterdir() if f.name.startswith("_")]
+    offsets = sorted(r.offset for r in read.collect())
+    assert offsets[0] == 0 and len(set(offsets)) == 60
+    raw = binary.format_message("u", "b", "t")
+    (tmp_path / "m.bin").write_bytes(struct.pack("<i", len(raw)) + raw + struct.pack("<i", 9) + b"torn")
+    with pytest.raises(Exception, match="torn"):
+        spark.read.format("record_stream").load(f"{tmp_path}/m.bin").collect()
+
+
+def test_log_lines_without_clicks(spark):
+    lines = spark.createDataFrame([("a@1\thttp://x.com\t",), ("b@1\thttp://www.x.com/,y.com\tx.com\t\t",), ("c@1",)], "value string")
+    got = clicks.parse_sessions(lines).collect()
+    assert [(r.query, r.shown, r.clicked) for r in got] == [("b", ["x.com", "y.com"], ["x.com"])]

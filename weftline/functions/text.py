@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,24 @@ def split_ws(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\s+$", ""), r"\s", -1)
 
 
+def without(words: Column, stop: list[str]) -> Column:
+    """Words that are no stop words; order and repeats stay."""
+    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+
+
+def lemmas(words: Column, lemmatise: Callable[[list[str]], list[str]] | None = None) -> Column:
+    """Each word's lemma by a function of many words, which a worker asks once per word and batch; by default the word."""
+    if lemmatise is None:
+        return words
+
+    def work(values: pd.Series) -> pd.Series:
+        known = sorted({w for v in values if v is not None for w in v})
+        to = dict(zip(known, lemmatise(known), strict=True))
+        return values.map(lambda v: None if v is None else [to[w] for w in v])
+
+    return F.pandas_udf(work, "array<string>")(words)
+
+
 def host(url: Column) -> Column:
     """Host as written; null where the text has no scheme."""
     return F.nullif(F.regexp_extract(url, HOST, 1), F.lit(""))

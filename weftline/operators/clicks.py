@@ -13,8 +13,11 @@ BUCKETS = 5
 
 
 def parse_sessions(lines: DataFrame, strip_www: bool = True) -> DataFrame:
-    """Log lines ``query@geo TAB shown,... TAB clicked,...`` to query, geo, shown, clicked; others are dropped."""
-    parts = F.split("value", "\t", -1)
+    """Log lines ``query@geo TAB shown,... TAB clicked,...`` to query, geo, shown, clicked; others are dropped.
+
+    Empty fields at a line's end do not count as fields, so a line without clicks has too few.
+    """
+    parts = F.split(F.regexp_replace("value", r"\t+$", ""), "\t", -1)
     clean = normal_url if strip_www else strip_scheme
     urls = lambda i: F.transform(F.split(F.get(parts, F.lit(i)), ",", -1), clean)
     rows = lines.filter(F.size(parts) >= 3)

@@ -26,6 +26,11 @@ def day_key(station: Column, month: Column, day: Column) -> Column:
     return F.format_string("%d:%02d.%02d", station, day, month)
 
 
+def degrees(temperature: Column, number: Column) -> Column:
+    """A temperature with one digit and a whole number, as ``21.4C (7)``; null if either is."""
+    return F.when(temperature.isNotNull() & number.isNotNull(), F.format_string("%.1fC (%d)", temperature, number))
+
+
 def extreme_by_key(df: DataFrame, keys: list[str], value: str, order: list[Column]) -> DataFrame:
     """The row of the greatest value per key, ties by ``order``; null values take no part."""
     w = Window.partitionBy(*keys).orderBy(F.desc(value), *order)

@@ -565,6 +565,32 @@ def session_log(spark, sf_dir):
     return found.groupBy("query", "query_id", "url", "url_id").agg(F.count("*").alias("shows"), F.count_if("click").alias("clicks"))
 
 
+@query("rows_sorted", f"SELECT q, d, s FROM ({_RANKED}) ORDER BY q, s DESC, d")
+def rows_sorted(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("q", "d", "s").orderBy("q", F.desc("s"), "d")
+
+
+@query("degrees", f"SELECT d, printf('%.1fC (%d)', s + 0.043, y) AS said FROM ({_RANKED})")
+def degrees(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("d", extremes.degrees(F.col("s") + 0.043, F.col("y")).alias("said"))
+
+
+@query("events_of_a_day", "SELECT event_id, ts FROM events WHERE strftime(ts, '%d.%m') = (SELECT strftime(min(ts), '%d.%m') FROM events)")
+def events_of_a_day(spark, sf_dir):
+    """Events of the day and month that the first one has."""
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.date_format(F.min("ts"), "dd.MM").alias("_day"))
+    return e.join(F.broadcast(first), F.date_format("ts", "dd.MM") == F.col("_day")).select("event_id", "ts")  # one row
+
+
+_STOP = ["the", "of", "in", "and", "de", "la", "der", "die"]
+
+
+@query("word_count_no_stop", f"SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) WHERE word NOT IN ({', '.join(repr(w) for w in _STOP)}) GROUP BY word")
+def word_count_no_stop(spark, sf_dir):
+    return text_stats.word_count(table(spark, sf_dir, "documents"), T.without(T.letters(F.col("text")), _STOP))
+
+
 # Learning
 
 _RATINGS = "r AS (SELECT o_custkey AS user, l_partkey AS item, least(5, greatest(1, ceil(l_quantity / 10)))::DOUBLE AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -584,6 +610,11 @@ def rating_biases(spark, sf_dir):
     return learning.biases(ratings(spark, sf_dir)).withColumn("bias", F.round("bias", 8) + 0.0)
 
 
+@query("matrix_size", f"WITH {_RATINGS} SELECT max(user) AS users, max(item) AS items FROM r")
+def matrix_size(spark, sf_dir):
+    return ratings(spark, sf_dir).agg(F.max("user").alias("users"), F.max("item").alias("items"))
+
+
 @query("confidence_weights", f"WITH {_RATINGS} SELECT user, item, round(1 + 40 * ln(1 + sum(rating) / 0.5), 8) AS weight FROM r GROUP BY ALL")
 def confidence_weights(spark, sf_dir):
     return learning.confidence(ratings(spark, sf_dir), 40.0, 0.5).select("user", "item", F.round("weight", 8).alias("weight"))

@@ -34,3 +34,8 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: str = "row_key", va
 
 def write_vw(df: DataFrame, line: Column, path: str, mode: str = "overwrite") -> None:
     df.select(line.alias("value")).write.mode(mode).text(path)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A json object per row and line, nulls left out; a dictionary is a frame of its keys and values."""
+    df.write.mode(mode).json(path)

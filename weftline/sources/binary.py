@@ -12,6 +12,7 @@ import gzip
 import io
 import struct
 import sys
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,25 +51,26 @@ def _files(path: str, leave_out: str = ".idx") -> list[tuple[str, int]]:
     return out
 
 
-def plan_splits(lengths: list[int], most: int) -> list[tuple[int, int]]:
+def plan_splits(lengths: list[int] | np.ndarray, most: int) -> list[tuple[int, int]]:
     """(first record, records): a record joins a split while the split stays below ``most`` or is empty."""
-    out, first, size = [], 0, 0
-    for i, n in enumerate(lengths):
-        if i > first and size + n >= most:
-            out.append((first, i - first))
-            first, size = i, 0
-        size += n
-    if len(lengths) > first:
-        out.append((first, len(lengths) - first))
+    upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    out, first = [], 0
+    while first < len(lengths):
+        end = max(first + 1, int(np.searchsorted(upto, upto[first] + most, "left")) - 1)
+        out.append((first, end - first))
+        first = end
     return out
 
 
 @dataclass
 class _Records(InputPartition):
+    """Records ``first`` to ``first + count`` of a file, which begin at byte ``start``; ``base``: bytes of the files before it."""
+
     uri: str
+    first: int
+    count: int
     start: int
     base: int
-    lengths: list[int]
 
 
 class PkzReader(DataSourceReader):
@@ -84,18 +86,21 @@ class PkzReader(DataSourceReader):
         for uri, size in _files(self.path):
             store, at = _store(uri)
             with store.open_input_file(at + ".idx") as f:
-                lengths = np.frombuffer(f.read(), "<i4").tolist()
-            starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).tolist()
-            out += [_Records(uri, starts[a], base + starts[a], lengths[a : a + n]) for a, n in plan_splits(lengths, self.most)]
+                lengths = np.frombuffer(f.read(), "<i4")
+            starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            out += [_Records(uri, a, n, int(starts[a]), base) for a, n in plan_splits(lengths, self.most)]
             base += size
         return out
 
     def read(self, partition: _Records) -> Iterator[tuple]:
         store, at = _store(partition.uri)
+        with store.open_input_file(at + ".idx") as f:  # its own slice of the index
+            f.seek(4 * partition.first)
+            lengths = np.frombuffer(f.read(4 * partition.count), "<i4").tolist()
         with store.open_input_file(at) as f:
             f.seek(partition.start)
-            offset = partition.base
-            for n in partition.lengths:
+            offset = partition.base + partition.start
+            for n in lengths:
                 raw = f.read(n)
                 try:
                     yield offset, zlib.decompress(raw).decode("utf-8")
@@ -220,7 +225,11 @@ class StreamReader(DataSourceReader):
         with store.open_input_file(at) as raw:
             f = gzip.GzipFile(fileobj=raw) if at.endswith(".gz") else io.BufferedReader(raw) if hasattr(raw, "readinto") else raw
             while head := f.read(4):
-                yield parse_message(f.read(struct.unpack("<i", head)[0]))
+                size = struct.unpack("<i", head)[0] if len(head) == 4 else -1
+                body = f.read(max(size, 0))
+                if size < 0 or len(body) != size:
+                    raise ValueError(f"{partition.uri}: the last record is torn")
+                yield parse_message(body)
 
 
 class StreamSource(DataSource):
@@ -242,6 +251,14 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def _write_whole(store, name: str, fill) -> None:
+    """A file under its name once it is whole, so that a task that runs twice never leaves or overwrites half of one."""
+    aside = f"{name.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(aside) as f:
+        fill(f)
+    store.move(aside, name)
+
+
 def write_pkz(df: DataFrame, uri: str, column: str = "text") -> int:
     """Writes a packed file and its index per partition; null documents are empty ones. Returns the documents written."""
     ship_by_value(sys.modules[__name__])
@@ -252,14 +269,16 @@ def write_pkz(df: DataFrame, uri: str, column: str = "text") -> int:
         store, at = _store(uri)
         store.create_dir(at, recursive=True)
         name, lengths = f"{at}/part-{TaskContext.get().partitionId():06d}.pkz", []
-        with store.open_output_stream(name) as f:
+
+        def fill(f):
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     raw = zlib.compress((text or "").encode("utf-8"))
                     lengths.append(len(raw))
                     f.write(raw)
-        with store.open_output_stream(name + ".idx") as f:
-            f.write(np.array(lengths, "<i4").tobytes())
+
+        _write_whole(store, name, fill)
+        _write_whole(store, name + ".idx", lambda f: f.write(np.array(lengths, "<i4").tobytes()))
         yield pa.RecordBatch.from_pydict({"n": pa.array([len(lengths)], pa.int64())})
 
     return df.select(column).mapInArrow(write, "n long").agg({"n": "sum"}).first()[0] or 0
@@ -275,11 +294,15 @@ def write_fixed(df: DataFrame, uri: str, column: str = "record") -> int:
         store, at = _store(uri)
         store.create_dir(at, recursive=True)
         n = 0
-        with store.open_output_stream(f"{at}/part-{TaskContext.get().partitionId():06d}.bin") as f:
+
+        def fill(f):
+            nonlocal n
             for batch in batches:
                 for record in batch.column(0).to_pylist():
                     f.write(record)
                     n += 1
+
+        _write_whole(store, f"{at}/part-{TaskContext.get().partitionId():06d}.bin", fill)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return df.select(column).mapInArrow(write, "n long").agg({"n": "sum"}).first()[0] or 0
