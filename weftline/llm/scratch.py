@@ -8,6 +8,7 @@ process (tests, a laptop) a folder of our own is set.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -60,6 +61,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_watched: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def swept():
+    """Deletes at its end what operators called inside have written for themselves; their results must be written by then."""
+    made: list[Scratch] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.remove(made)
+        for one in made:
+            one.close()
+            atexit.unregister(one.close)
+        if made:
+            made[0].sweep()
+
+
 class Scratch:
     """A folder of written tables for one call of an operator.
 
@@ -70,6 +90,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/weftline/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for made in _watched:
+            made.append(self)
         atexit.register(self.close)
 
     def new_path(self, what: str = "t") -> str:
