@@ -338,6 +338,11 @@ def vw_line(label: Column, token: Column) -> Column:
     return F.concat(label.cast("string"), F.lit(" | "), F.concat_ws(" ", token))
 
 
+def vw_spaces(label: Column, spaces: dict[str, Column]) -> Column:
+    """A line with a namespace per entry of ``spaces`` (arrays of text); one without tokens stays, empty."""
+    return F.concat_ws(" ", label.cast("string"), *[F.concat_ws(" ", F.lit(f"|{name}"), tokens_) for name, tokens_ in spaces.items()])
+
+
 def crossings(spaces: dict[str, Column], interactions: list[tuple[str, ...]]) -> Column:
     """One token per combination of the tokens (arrays of text) of each interaction's namespaces.
 

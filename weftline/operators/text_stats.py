@@ -38,13 +38,18 @@ def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def with_idf(words: DataFrame, idf: DataFrame) -> DataFrame:
+    """``words`` (word, ...) with the idf of each; a word that ``idf`` (word, idf) does not know has 0."""
+    return words.join(idf.select("word", "idf"), "word", "left").na.fill(0.0, ["idf"])
+
+
 def relevance(docs: DataFrame, queries: DataFrame, key: str, words: Column, query_words: Column, k: float = 2.0, b: float = 0.75, average: float | None = None) -> DataFrame:
     """query_id, key, tf_idf, bm25 for every document that shares a word with a query.
 
     Term frequency is divided by the document's length in both measures. Words without an idf weigh 0. ``queries``
-    (query_id, ...) may have any size: their words are joined, and broadcast only where their size allows it; the
-    weights, a row per different word of the queries, are. Documents are dealt by key before their words are counted,
-    so that neither counts nor sums per document move again.
+    (query_id, ...) may have any size: their words and the weights, a row per different word, are joined, and broadcast
+    only where their size allows it. Documents are dealt by key before their words are counted,
+    so that neither counts nor sums per document move again where the words' weights are small enough to broadcast.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(query_words)).alias("word"))
     measured = lambda d: d.select(key, F.size(words).alias("length"), words.alias("_words"))
@@ -56,7 +61,7 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str, words: Column, quer
     mean = F.lit(float(average)) if average else F.col("_mean")
     tf = F.col("tf") / F.col("length")
     scored = (
-        hits.join(F.broadcast(weight), "word").crossJoin(F.broadcast(stats)).join(q, "word")
+        hits.join(weight, "word").crossJoin(F.broadcast(stats)).join(q, "word")
         .withColumn("_idf", F.log2(F.col("_n") / F.col("df")))
         .withColumn("_tf_idf", tf * F.col("_idf"))
         .withColumn("_bm25", F.col("_idf") * tf * (k + 1) / (tf + k * (1 - b + b * F.col("length") / mean)))

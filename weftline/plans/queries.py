@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import clicks, extremes, graph, learning, ranking, splits, text_stats, web
+from weftline.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from weftline.shared import new_folder
 from weftline.sources import binary
 from weftline.sources import text as text_source
 from weftline.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
 # Words
 
 _SPLIT = r"unnest(string_split_regex(regexp_replace(text, '\s+$', ''), '\s'))"
@@ -649,24 +633,34 @@ def cart_split_search(spark, sf_dir):
 _STEPS = {"p_size": [5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0], "brand": [13.0, 21.0, 24.0, 31.0, 35.0, 42.0, 51.0]}
 
 
-def _boosted_sql(target: str, loss: str, rounds: int, depth: int, rate: float = 0.3, lam: float = 1.0) -> str:
-    """Boosted trees on two features written out: per level the sums of each node, feature and threshold, and the best."""
-    grid = ", ".join(f"({k}, {e}::DOUBLE)" for k, q in enumerate(_STEPS.values()) for e in q)
-    start = "avg(y)" if loss == "squared" else "ln(avg(y) / (1 - avg(y)))"
-    g, h = ("s - y", "1.0::DOUBLE") if loss == "squared" else ("1 / (1 + exp(-s)) - y", "(1 / (1 + exp(-s))) * (1 - 1 / (1 + exp(-s)))")
-    sql = f"""WITH d AS MATERIALIZED (SELECT p_partkey, p_size::DOUBLE AS a, CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) AS b, ({target})::DOUBLE AS y FROM part),
-      grid AS (SELECT * FROM (VALUES {grid}) AS t(f, e)), s0 AS MATERIALIZED (SELECT d.*, (SELECT {start} FROM d) AS s FROM d)"""
-    for r in range(rounds):
-        sql += f", n{r}_0 AS MATERIALIZED (SELECT *, 0 AS node, {g} AS g, {h} AS h FROM s{r})"
+def _trees_sql(key: str, data: str, thresholds: dict[str, list[float]], start: str, slopes: str, series: list[tuple[int, float]], lam: float = 1.0) -> str:
+    """Boosted trees on two features (a and b of ``data``) written out: per level the sums of each node, feature and
+    threshold, and the best split. ``series``: depth and rate of each tree. ``slopes``: g and h for the rows of {s}."""
+    grid = ", ".join(f"({k}, {e}::DOUBLE)" for k, q in enumerate(thresholds.values()) for e in q)
+    sql = f"""WITH d AS MATERIALIZED ({data}),
+      grid AS (SELECT * FROM (VALUES {grid}) AS t(f, e)), s0 AS MATERIALIZED (SELECT d.*, ({start})::DOUBLE AS s FROM d)"""
+    for r, (depth, rate) in enumerate(series):
+        sql += f", n{r}_0 AS MATERIALIZED (SELECT *, 0 AS node FROM ({slopes.format(s=f's{r}')}))"
         for k in range(depth):
             sql += f""", c{r}_{k} AS (SELECT node, f, e, sum(g) FILTER (v < e) AS gl, sum(h) FILTER (v < e) AS hl, sum(g) AS gt, sum(h) AS ht, count(*) FILTER (v < e) AS nl, count(*) AS nt
                 FROM (SELECT n.*, f, e, CASE WHEN f = 0 THEN a ELSE b END AS v FROM n{r}_{k} n, grid WHERE node >= {2**k - 1}) GROUP BY node, f, e),
               b{r}_{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, e) AS i
                 FROM (SELECT *, gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / (ht - hl + {lam}) - gt * gt / (ht + {lam}) AS gain FROM c{r}_{k} WHERE nl > 0 AND nl < nt)) WHERE i = 1 AND gain > 1e-12),
-              n{r}_{k + 1} AS MATERIALIZED (SELECT p_partkey, a, b, y, s, CASE WHEN x.node IS NULL THEN n.node WHEN CASE WHEN f = 0 THEN a ELSE b END >= e THEN 2 * n.node + 2 ELSE 2 * n.node + 1 END AS node, n.g, n.h
+              n{r}_{k + 1} AS MATERIALIZED (SELECT {key}, a, b, y, s, CASE WHEN x.node IS NULL THEN n.node WHEN CASE WHEN f = 0 THEN a ELSE b END >= e THEN 2 * n.node + 2 ELSE 2 * n.node + 1 END AS node, n.g, n.h
                 FROM n{r}_{k} n LEFT JOIN b{r}_{k} x ON n.node = x.node)"""
-        sql += f", s{r + 1} AS MATERIALIZED (SELECT p_partkey, a, b, y, s + {rate} * -(sum(g) OVER w) / (sum(h) OVER w + {lam}) AS s FROM n{r}_{depth} WINDOW w AS (PARTITION BY node))"
-    return sql + f" SELECT p_partkey, round({'s' if loss == 'squared' else '1 / (1 + exp(-s))'}, 6) AS prediction FROM s{rounds}"
+        sql += f", s{r + 1} AS MATERIALIZED (SELECT {key}, a, b, y, s + {rate} * -(sum(g) OVER w) / (sum(h) OVER w + {lam}) AS s FROM n{r}_{depth} WINDOW w AS (PARTITION BY node))"
+    return sql
+
+
+def _part_trees_sql(target: str, loss: str, rounds: int, depth: int, rate: float = 0.3) -> str:
+    data = f"SELECT p_partkey, p_size::DOUBLE AS a, CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) AS b, ({target})::DOUBLE AS y FROM part"
+    start = "avg(y)" if loss == "squared" else "ln(avg(y) / (1 - avg(y)))"
+    g, h = ("s - y", "1.0::DOUBLE") if loss == "squared" else ("1 / (1 + exp(-s)) - y", "(1 / (1 + exp(-s))) * (1 - 1 / (1 + exp(-s)))")
+    return _trees_sql("p_partkey", data, _STEPS, f"SELECT {start} FROM d", f"SELECT *, {g} AS g, {h} AS h FROM {{s}}", [(depth, rate)] * rounds)
+
+
+def _boosted_sql(target: str, loss: str, rounds: int, depth: int) -> str:
+    return _part_trees_sql(target, loss, rounds, depth) + f" SELECT p_partkey, round({'s' if loss == 'squared' else '1 / (1 + exp(-s))'}, 6) AS prediction FROM s{rounds}"
 
 
 @query("gbdt_predict", _boosted_sql("p_retailprice", "squared", 3, 3))
@@ -683,6 +677,43 @@ def newton_boost_predict(spark, sf_dir):
     return found.select("p_partkey", F.round("prediction", 6).alias("prediction"))
 
 
+def _importance_sql(rounds: int, depth: int) -> str:
+    gains = " UNION ALL ".join(f"SELECT f, gain FROM b{r}_{k}" for r in range(rounds) for k in range(depth))
+    named = "CASE f WHEN 0 THEN 'p_size' ELSE 'brand' END"
+    return _part_trees_sql("p_retailprice", "squared", rounds, depth) + f" SELECT {named} AS feature, round(sum(gain) / sum(sum(gain)) OVER (), 8) AS share FROM ({gains}) GROUP BY f ORDER BY share DESC"
+
+
+@query("feature_importance", _importance_sql(3, 3))
+def feature_importance(spark, sf_dir):
+    """Each feature's share of the gain of a boosted model's splits, greatest first."""
+    d = _parts(spark, sf_dir)
+    found = learning.boost(d, ["p_size", "brand"], "p_retailprice", "squared", rounds=3, depth=3, edges=_STEPS).importance()
+    return spark.createDataFrame([(f, float(g)) for f, g in found.items()], "feature string, share double").select("feature", F.round("share", 8).alias("share")).orderBy(F.desc("share"))
+
+
+#: Thresholds of the two features of the ranked rows.
+_RANK_STEPS = {"f1": [1.005 + i for i in range(9)], "f2": [2.5, 4.5, 6.5]}
+_SLOPES = """SELECT t.*, coalesce(-x.g, 0) AS g, coalesce(x.h, 0) AS h FROM {s} t LEFT JOIN (
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS p, row_number() OVER (PARTITION BY q ORDER BY y DESC, d) AS i, pow(2, y) - 1 AS gain FROM {s}),
+    m AS (SELECT *, sum(gain / log2(i + 1)) OVER (PARTITION BY q) AS ideal FROM r),
+    l AS (SELECT u.q, u.d AS u, v.d AS v, 1 / (1 + exp(greatest(least(u.s - v.s, 50), -50))) AS rho, abs((u.gain - v.gain) * (1 / log2(u.p + 1) - 1 / log2(v.p + 1))) / u.ideal AS delta FROM m u JOIN m v ON u.q = v.q AND u.y > v.y)
+    SELECT q, d, sum(g) AS g, sum(h) AS h FROM (SELECT q, u AS d, rho * delta AS g, rho * (1 - rho) * delta AS h FROM l UNION ALL SELECT q, v, -rho * delta, rho * (1 - rho) * delta FROM l) GROUP BY q, d) x ON t.q = x.q AND t.d = x.d"""
+
+
+@query(
+    "ranking_boosters",
+    _trees_sql("q, d", f"SELECT q, d, s AS a, (d % 10)::DOUBLE AS b, y::DOUBLE AS y FROM ({_RANKED})", _RANK_STEPS, "0", _SLOPES, [(1, 0.85), (2, 0.85**2)])
+    + " SELECT q, d, round(s, 6) + 0.0 AS prediction FROM s2",
+)
+def ranking_boosters(spark, sf_dir):
+    """A series of ranking boosters, each going on from the one before, deeper and at a lower rate."""
+    d = _ranked(spark, sf_dir).select("q", "d", F.col("s").alias("f1"), (F.col("d") % 10).cast("double").alias("f2"), "y")
+    model = None
+    for i in range(1, 3):
+        model = learning.boost(d, ["f1", "f2"], "y", "lambda", rounds=1, depth=i, rate=0.85**i, group="q", item="d", warm=model, edges=_RANK_STEPS)
+    return model.predict(d).select("q", "d", (F.round("prediction", 6) + 0.0).alias("prediction"))
+
+
 @query("lambdamart_rank")
 def lambdamart_rank(spark, sf_dir):
     d = _ranked(spark, sf_dir).withColumn("f1", F.col("s")).withColumn("f2", (F.col("d") % 10).cast("double"))
@@ -690,12 +721,12 @@ def lambdamart_rank(spark, sf_dir):
     return ranking.top_k(model.predict(d), "q", "prediction", "d", 1 << 30).select("q", "d", "place")
 
 
-def _ials_sql(rounds: int, lam: float = 5.0, alpha: float = 40.0, eps: float = 0.13, fade: float = 0.85) -> str:
+def _ials_sql(rounds: int, step: float = 1.7, lam: float = 5.0, alpha: float = 40.0, eps: float = 0.13, fade: float = 0.85) -> str:
     """One factor beside the bias: each half round solves two equations per row by determinants."""
     sql = f"""WITH {_RATINGS}, k AS MATERIALIZED (SELECT user, item, avg(rating) AS rating FROM r GROUP BY ALL), m AS (SELECT avg(rating) AS m FROM k),
       ub AS (SELECT user, avg(rating - m) AS ub FROM k, m GROUP BY user), ib AS (SELECT item, avg(rating - m - ub) AS ib FROM k JOIN ub USING (user), m GROUP BY item),
       x AS MATERIALIZED (SELECT user, item, rating, ub, ib, {alpha} * ln(1 + rating / {eps}) AS c1, {fade} * (m + ub + ib) AS q FROM k JOIN ub USING (user) JOIN ib USING (item), m),
-      item0 AS (SELECT item, ib AS b0, ib AS b, sin(item * 1.7) AS v FROM ib)"""
+      item0 AS (SELECT item, ib AS b0, ib AS b, sin(item * {step}) AS v FROM ib)"""
     turn = 0
     for _ in range(rounds):
         for side, other, own0 in (("user", "item", "ub"), ("item", "user", "ib")):
@@ -715,6 +746,18 @@ def ials_predict(spark, sf_dir):
     return found.select("user", "item", F.round("prediction", 6).alias("prediction"))
 
 
+@query(
+    "ials_bag",
+    f"SELECT user, item, round(avg(prediction), 7) AS prediction FROM (({_ials_sql(1)}) UNION ALL ({_ials_sql(1, 0.9)})) GROUP BY ALL",
+)
+def ials_bag(spark, sf_dir):
+    """The mean of two factorisations that differ in what they start from."""
+    r = learning.cut(ratings(spark, sf_dir))
+    models = [learning.ials(r, rank=1, rounds=1, start=lambda key, i, step=step: F.sin(key * step)) for step in (1.7, 0.9)]
+    rounded = [m.withColumn("prediction", F.round("prediction", 6)) for m in models]
+    return learning.ensemble(rounded, ["user", "item"]).select("user", "item", F.round("prediction", 7).alias("prediction"))
+
+
 @query("hashed_logit_predict")
 def hashed_logit_predict(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "purchase").cast("double").alias("y"), F.hour("ts").alias("hour"), "user_id", F.array(F.get_json_object("props", "$.k")).alias("k"))
@@ -770,3 +813,6 @@ def windowed_counts(spark, sf_dir):
     from weftline.streaming.clicks import windowed_counts as counts
 
     return counts(table(spark, sf_dir, "events"), ["event_type"])
+
+
+from weftline.plans import layouts  # noqa: E402, F401  (registers its queries)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = False, mode: str = "overwrite") -> None:
-    df.write.mode(mode).csv(path, sep="\t", header=header)
+def write_tsv(df: DataFrame, path: str, header: bool = False, mode: str = "overwrite", sep: str = "\t") -> None:
+    df.write.mode(mode).csv(path, sep=sep, header=header)
 
 
 def write_named(outputs: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:

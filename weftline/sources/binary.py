@@ -284,6 +284,31 @@ def write_pkz(df: DataFrame, uri: str, column: str = "text") -> int:
     return df.select(column).mapInArrow(write, "n long").agg({"n": "sum"}).first()[0] or 0
 
 
+def write_messages(df: DataFrame, uri: str) -> int:
+    """Writes url, body and text as length-prefixed messages, a file per partition. Returns the messages written."""
+    ship_by_value(sys.modules[__name__])
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        store, at = _store(uri)
+        store.create_dir(at, recursive=True)
+        n = 0
+
+        def fill(f):
+            nonlocal n
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    message = format_message(*row)
+                    f.write(struct.pack("<i", len(message)) + message)
+                    n += 1
+
+        _write_whole(store, f"{at}/part-{TaskContext.get().partitionId():06d}.bin", fill)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return df.select("url", "body", "text").mapInArrow(write, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def write_fixed(df: DataFrame, uri: str, column: str = "record") -> int:
     """Writes records of equal length back to back, a file per partition. Returns the records written."""
     ship_by_value(sys.modules[__name__])

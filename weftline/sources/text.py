@@ -34,6 +34,18 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).filter("value <> '' AND NOT startswith(value, '#')").select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst"))
 
 
+def read_lists(spark: SparkSession, path: str, lists: list[str], sep: str = ";") -> DataFrame:
+    """A file with a header line; all columns are text, those in ``lists`` arrays of the comma-separated parts (an empty field has none)."""
+    rows = spark.read.csv(path, sep=sep, header=True)
+    parts = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(c, ",", -1))
+    return rows.select(*[parts(c).alias(c) if c in lists else F.col(c) for c in rows.columns])
+
+
+def read_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """user, item (from 1 on, as the files have them) and rating; a line that is not three numbers raises."""
+    return read_tsv(spark, path, "user long, item long, rating double", bad="FAILFAST")
+
+
 def parse_svmlight(lines: DataFrame) -> DataFrame:
     """label, qid (null if there is none), features (map from number to value) of lines ``y qid:q i:v ... # note``."""
     words = F.filter(F.split(F.trim(F.regexp_replace("value", "#.*$", "")), r"\s+", -1), lambda w: w != "")
