@@ -37,6 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, Jaccard at least 0.8) the document of the least doc_id stays.
 
+    Candidates are documents whose SimHash fingerprints differ in two bits at most, or that share a MinHash band.
     Documents without words, null texts too, are one group, and so are repeated rows.
     """
     return drop_near_duplicates(docs)

@@ -1,9 +1,11 @@
 """Near-duplicate documents: Jaccard similarity of five-word shingles of at least 0.8.
 
-Documents are nodes by the hash of their words, so copies cost one node. MinHash signatures over word shingles are cut
-into bands: a pair at similarity 0.8 shares one with probability 0.9998, more similar pairs more surely. Inside a
-bucket, two-bit sketches rule out chance collisions and the rest form candidate clusters, each document in one. Within
-a cluster, exact similarity of the shingle sets decides every link; union-find joins links to components and the first
+Documents are nodes by the hash of their words, so copies cost one node. SimHash fingerprints of the shingles are
+searched by the covering masks of ``simhash``: pairs within its radius are candidates, without loss. Most pairs at
+similarity 0.8 are further apart than any such radius, so MinHash signatures of the same shingles are cut into bands
+besides: a pair at similarity 0.8 shares one with probability 0.9998, more similar pairs more surely. Inside a bucket,
+two-bit sketches rule out chance collisions. The candidates of both form clusters, each document in one. Within a
+cluster, exact similarity of the shingle sets decides every link; union-find joins links to components and the first
 document of each stays. Shingles move once and for candidates only.
 """
 
@@ -20,6 +22,7 @@ from weftline.llm.jaccard import similar_links
 from weftline.llm.line_dedup import _ADD, _MUL, PERMS, block_pairs, link_buckets, sketches
 from weftline.llm.runs import cuts, whole_runs
 from weftline.llm.scratch import Scratch, boxed, ship, unboxed
+from weftline.llm.simhash import link_fingerprints, majority
 
 #: Words of a shingle, values of a band (all PERMS are used), least similarity as a fraction.
 SHINGLE, ROWS, SIMILAR = 5, 4, (4, 5)
@@ -73,21 +76,38 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _prints(batches):
-    """Rows (_row, doc_id, text) to the hash of the words, band keys (none without words) and sketch."""
+    """Rows (_row, doc_id, text) to the hash of the words, fingerprint (null without words), band keys (none without) and sketch."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             split = [words(t) for t in part.column(2).to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(b" ".join(w), 42) for w in split], np.uint64).view(np.int64)
             full = np.flatnonzero([len(w) > 0 for w in split])
-            sig = signatures([shingles(split[i]) for i in full])
+            sets = [shingles(split[i]) for i in full]
+            sig = signatures(sets)
+            prints = np.zeros(len(split), np.uint64)
+            prints[full] = [majority(h) for h in sets]
+            worded = np.zeros(len(split), bool)
+            worded[full] = True
             keys: list[list[int]] = [[] for _ in split]
             for i, row in zip(full.tolist(), band_keys(sig).tolist(), strict=True):
                 keys[i] = row
             two = np.zeros((len(split), 2), np.int64)
             two[full] = sketches(sig).view(np.int64)
-            columns = [part.column(0), part.column(1), pa.array(ids), pa.array(keys, pa.list_(pa.int64())), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "lid", "keys", "s1", "s2"])
+            columns = [part.column(0), part.column(1), pa.array(ids), pa.array(prints.view(np.int64), mask=~worded), pa.array(keys, pa.list_(pa.int64())), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "lid", "fp", "keys", "s1", "s2"])
+
+
+def fingerprint_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes`` (lid, fp) to links (u, v) that span the components of fingerprints within the radius; null ones have none.
+
+    One node stands for each fingerprint; the others that have it are linked to that one.
+    """
+    held = scratch.keep(nodes.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("lid").alias("lid"), F.count("*").alias("n")))
+    near = link_fingerprints(held.select("fp"), scratch).withColumnsRenamed({"u": "fp", "v": "other"})
+    near = near.join(held.select("fp", F.col("lid").alias("u")), "fp").join(held.select(F.col("fp").alias("other"), F.col("lid").alias("v")), "other")
+    same = nodes.select("lid", "fp").join(held.filter("n > 1").select("fp", F.col("lid").alias("u")), "fp").filter("lid <> u")
+    return near.select("u", "v").unionByName(same.select("u", F.col("lid").alias("v")))
 
 
 def _sets(batches):
@@ -122,12 +142,13 @@ def kept_rows(documents: DataFrame, scratch: Scratch) -> DataFrame:
     Documents without a word (null and empty texts too) are copies of each other, and so are repeated rows. Texts of
     any length are read whole. An empty table gives no rows.
     """
-    prints = documents.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(_prints, "_row long, doc_id long, lid long, keys array<long>, s1 long, s2 long")
+    prints = documents.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(_prints, "_row long, doc_id long, lid long, fp long, keys array<long>, s1 long, s2 long")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
-    same = [F.first(c).alias(c) for c in ("keys", "s1", "s2")]
+    same = [F.first(c).alias(c) for c in ("fp", "keys", "s1", "s2")]
     nodes = scratch.keep(prints.groupBy("lid").agg(F.min(order).alias("first"), *same))
     dealt = nodes.select(F.explode("keys").alias("key"), "lid", "s1", "s2").repartition("key").sortWithinPartitions("key")
-    clusters = connected_components(scratch.keep(dealt.mapInArrow(link_buckets, "u long, v long")), scratch)
+    candidates = dealt.mapInArrow(link_buckets, "u long, v long").unionByName(fingerprint_links(nodes, scratch))
+    clusters = connected_components(scratch.keep(candidates), scratch)
     wanted = nodes.join(clusters.withColumnRenamed("node", "lid"), "lid").select("component", "lid", F.col("first._row").alias("_row"))
     named = scratch.keep(documents.select("_row", "text").join(wanted, "_row").select("component", "lid", "text").mapInArrow(_sets, "component long, lid long, size long, shingles binary"))
     # A large cluster is cut into blocks and verified block against block: no task holds more than two blocks.

@@ -44,6 +44,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(h: np.ndarray) -> int:
+    """Each bit as more than half of the 64-bit hashes have it, as an unsigned number."""
+    ones = np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of a text as an unsigned number; 0 without words."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space cuts
@@ -54,9 +60,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     starts = [0, *(e + 1 for e in ends)]
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8"))
 
 
 def _fingerprints(shingle: int):
