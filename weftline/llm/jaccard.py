@@ -6,8 +6,9 @@ import heapq
 
 import numpy as np
 
-#: Sets of a group above which links are sought by parities, most bits of these, cells worked on at once.
-MANY, MOST_BITS, AT_ONCE = 8, 4096, 1 << 20
+#: Sets of a group above which links are sought by parities, most bits of these, words they are folded to at first, cells
+#: worked on at once.
+MANY, MOST_BITS, FOLDED, AT_ONCE = 8, 4096, 4, 1 << 20
 
 
 def _distinct(sorted_: np.ndarray) -> np.ndarray:
@@ -35,11 +36,13 @@ def similar_links(shingles: np.ndarray, owner: np.ndarray, n: int, least: tuple[
         either = _size(shingles)
         like = whole * (_size(shingles[~second]) + _size(shingles[second]) - either) >= part * either and (side is None or side[0] != side[1])
         return np.arange(int(like)), np.arange(1, 1 + int(like))
-    order = np.argsort(shingles)
-    code = np.cumsum(_distinct(shingles[order]))
-    held = np.sort(code * n + owner[order])
+    # The owner in place of the hash's last bits makes one plain sort do; if that takes two shingles for one, they are named anew.
+    low = np.uint64((n - 1).bit_length())
+    if _size(shingles >> low) < _size(shingles):
+        shingles = np.unique(shingles, return_inverse=True)[1].astype(np.uint64) << low
+    held = np.sort(shingles >> low << low | owner.astype(np.uint64))
     held = held[_distinct(held)]
-    holder, shingle = held % n, held // n - 1
+    holder, shingle = (held & (np.uint64(1) << low) - np.uint64(1)).view(np.int64), np.cumsum(_distinct(held >> low)) - 1
     size = np.bincount(holder, minlength=n)
     many = np.bincount(shingle)
     if n > MANY:
@@ -88,21 +91,23 @@ def _parities(holder: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> np.n
 def _links_by_parity(holder: np.ndarray, shingle: np.ndarray, size: np.ndarray, many: np.ndarray, least: tuple[int, int], side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """As ``similar_links``, of distinct (shingle, holder); ``size`` and ``many`` count the shingles of sets and the reverse.
 
-    Each set in turn is held against those without a link. Parities bound from below in how many shingles two sets
-    differ, so no link is lost, and the shingles of the few pairs left are counted. Sets of common shingles come first:
-    they have most links.
+    Each set in turn is held against those without a link whose size allows one. Parities, folded to a few words at
+    first, bound from below in how many shingles two sets differ, so no link is lost, and the shingles of the few pairs
+    left are counted. Sets of common shingles come first: they have most links.
     """
     part, whole = least
     n = len(size)
     old = np.argsort(-np.bincount(holder, many[shingle], n) / size, kind="stable")
     new = np.empty(n, np.int64)
     new[old] = np.arange(n)
-    order = np.argsort(new[holder], kind="stable")
-    flat, size, side = shingle[order], size[old], None if side is None else side[old]
+    both = np.sort(new[holder] << 32 | shingle)
+    flat, size, side = both & (1 << 32) - 1, size[old], None if side is None else side[old]
     starts = np.cumsum(size) - size
-    bits = _parities(new[holder[order]], flat, size)
+    bits = _parities(both >> 32, flat, size)
+    few = np.ascontiguousarray(np.bitwise_xor.reduce(bits.reshape(n, -1, min(FOLDED, bits.shape[1])), axis=1).T)
     open_, mark = np.ones(n, bool), np.zeros(len(many), bool)
-    rest, rest_bits, rest_size, left = np.arange(n), bits, size, n
+    rest, left = np.argsort(size, kind="stable"), n
+    rest_few, rest_size = few[:, rest], size[rest]
     u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for first in range(n):
         if not open_[first]:
@@ -113,14 +118,17 @@ def _links_by_parity(holder: np.ndarray, shingle: np.ndarray, size: np.ndarray,
         while queue and left:
             if 2 * left < len(rest):
                 rest = rest[open_[rest]]
-                rest_bits, rest_size = bits[rest], size[rest]
+                rest_few, rest_size = few[:, rest], size[rest]
             x = heapq.heappop(queue)
-            both = size[x] + rest_size
-            differ = np.bitwise_count(rest_bits ^ bits[x]).sum(axis=1, dtype=np.int64)
-            some = rest[(whole + part) * differ <= (whole - part) * both]
+            a, b = np.searchsorted(rest_size, [-(-part * size[x] // whole), whole * size[x] // part + 1]).tolist()
+            differ = np.bitwise_count(rest_few[:, a:b] ^ few[:, x, None]).sum(axis=0, dtype=np.int64)
+            some = rest[a:b][(whole + part) * differ <= (whole - part) * (size[x] + rest_size[a:b])]
             some = some[open_[some]]
             if side is not None:
                 some = some[side[some] != side[x]]
+            if len(some) and len(few) < bits.shape[1]:
+                differ = np.bitwise_count(bits[some] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                some = some[(whole + part) * differ <= (whole - part) * (size[x] + size[some])]
             if not len(some):
                 continue
             mine = flat[starts[x] : starts[x] + size[x]]

@@ -204,6 +204,28 @@ def link_buckets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+def grades(sizes: np.ndarray) -> np.ndarray:
+    """Sets whose grades differ by more than one are too unlike in size to be similar.
+
+    A grade ends at 1.26 times its start, a little above the ratio of sizes that similarity 0.8 allows.
+    """
+    return (np.log(sizes) / np.log(1.26)).astype(np.int32)
+
+
+def _grades(batches):
+    """Rows (component, lid, line, _large) with the grade of the line's size in place of the last, null where that is false."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            grade = np.zeros(part.num_rows, np.int32)
+            small = ~part.column(3).to_numpy(zero_copy_only=False)
+            large = np.flatnonzero(~small)
+            if len(large):
+                h, sizes = shingle_hashes(part.column(2).take(pa.array(large)).to_pylist())
+                grade[large] = grades(np.array([len(np.unique(x)) for x in np.split(h, np.cumsum(sizes)[:-1])]))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(grade, mask=small)], ["component", "lid", "line", "_g"])
+
+
 def _verify(batches):
     """Rows (component, _i, _j, _b, lid, line) in order of the first three to links of the exact similarity graph of each."""
     for component, i, j, b, lid, line in whole_runs(batches, 3):
@@ -230,6 +252,22 @@ def block_pairs(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.withColumn("_i", F.col("_p.i")).withColumn("_j", F.col("_p.j")).drop("_p", "_k")
 
 
+def graded_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """``lines`` (component, lid, _g, ...) with _b, _i and _j: each row once per pair of blocks that its own is part of.
+
+    Blocks of a component are of one grade each, and only those of the same or the next grade are paired. A component
+    without grades is one block.
+    """
+    counts = scratch.keep(lines.filter("_g IS NOT NULL").groupBy("component", "_g").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).alias("_k")))
+    near = counts.select("component", F.explode(F.sequence(F.col("_g") - 1, F.col("_g") + 1)).alias("_g"), F.struct(F.col("_g").alias("g"), F.col("_k").alias("k")).alias("_n"))
+    # Written, and only of large components, so that the lines need not move to meet it.
+    near = scratch.keep(near.groupBy("component", "_g").agg(F.collect_list("_n").alias("_n")).join(counts, ["component", "_g"]))
+    block = F.col("_g").cast("long") * (1 << 32) + F.pmod(F.xxhash64("lid"), F.col("_k"))
+    others = F.expr("coalesce(flatten(transform(_n, n -> transform(sequence(0L, n.k - 1), o -> n.g * 4294967296L + o))), array(0L))")
+    dealt = lines.join(near, ["component", "_g"], "left").withColumn("_b", F.coalesce(block, F.lit(0))).withColumn("_o", F.explode(others))
+    return dealt.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_k", "_o")
+
+
 def line_links(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) between hashes of similar lines of the text column, spanning all components of the exact graph."""
     text = documents.select("text")
@@ -238,13 +276,17 @@ def line_links(documents: DataFrame, scratch: Scratch) -> DataFrame:
     clusters = scratch.keep(connected_components(links, scratch).withColumnRenamed("node", "lid"))
     scratch.drop(links)
     scratch.sweep()  # the bands' shuffle goes before the texts move
-    # A large cluster is cut into blocks and verified block against block: no task holds more than two blocks.
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("_k"))
-    dealt = block_pairs(clusters, sizes)
-    lines = text.mapInArrow(_texts, "lid long, line string").join(dealt, "lid").dropDuplicates(["lid", "_i", "_j"])
+    # A large cluster is cut into blocks by size and hash and verified block against block: no task holds more than two.
+    large = scratch.keep(clusters.groupBy("component").count().filter(F.col("count") > CLUSTER_BLOCK).select("component", F.lit(True).alias("_large")))
+    wanted = clusters.join(large, "component", "left")
+    texts = text.mapInArrow(_texts, "lid long, line string").join(wanted, "lid").dropDuplicates(["lid"])
+    named = scratch.keep(texts.select("component", "lid", "line", F.coalesce("_large", F.lit(False))).mapInArrow(_grades, "component long, lid long, line string, _g int"))
+    scratch.drop(clusters)
     by = ["component", "_i", "_j"]
-    found = lines.select(*by, "_b", "lid", "line").repartition(*by).sortWithinPartitions(*by)
-    return scratch.keep(found.mapInArrow(_verify, "u long, v long"))
+    found = graded_pairs(named, scratch).select(*by, "_b", "lid", "line").repartition(*by).sortWithinPartitions(*by)
+    links = scratch.keep(found.mapInArrow(_verify, "u long, v long"))
+    scratch.drop(named)
+    return links
 
 
 def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
