@@ -2,6 +2,8 @@ import random
 
 import xxhash
 
+from weftline.llm import simhash
+from weftline.llm.components import connected_components
 from weftline.llm.scratch import Scratch
 from weftline.llm.simhash import drop_near_duplicates, fingerprint, link_fingerprints, masks, simhash_digest
 
@@ -65,3 +67,35 @@ def test_digest_and_drop(spark):
     assert got == {3: 1, 1: 1, None: 1, 2: 2, 5: 2, 9: 9}
     assert sorted((r.doc_id, r.fp) for r in drop_near_duplicates(df.withColumnRenamed("fp", "first").withColumnRenamed("first", "fp")).collect()) == [(1, None), (2, "y"), (9, "v")]
     assert simhash_digest(df.limit(0)).count() == 0
+
+
+def test_components_at_once_equal_rounds_and_brute_force(spark):
+    rng = random.Random(8)
+    ids = sorted({rng.getrandbits(64) - (1 << 63) for _ in range(400)})
+    chain = [(b, a) for a, b in zip(ids[300:], ids[301:])]
+    links = [(rng.choice(ids[:300]), rng.choice(ids[:300])) for _ in range(170)] + chain + chain[:9] + [(ids[0], ids[0]), (ids[299], ids[299])]
+    edges = spark.createDataFrame([*links, (None, ids[1]), (ids[2], None)], "u long, v long")
+    want = sorted(components(links, {n for a, b in links if a != b for n in (a, b)}).items())
+    distinct = len({(min(x), max(x)) for x in links if x[0] != x[1]})
+    for at_once in (0, distinct - 1, distinct):
+        scratch = Scratch(spark, "t")
+        assert sorted(map(tuple, connected_components(edges, scratch, at_once).collect())) == want
+        assert (scratch.count == 2) == (at_once == distinct)
+    assert connected_components(edges.limit(0), Scratch(spark, "t"), 1).count() == 0
+
+
+def test_few_links_are_no_rounds_of_written_tables(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(3000))
+    near = [text, *(text.replace(f" w{k} ", f" x{k} ") for k in range(40, 2900, 300))]
+    df = spark.createDataFrame([*((10 + k, t) for k, t in enumerate(near)), *((r[0], r[1]) for r in ROWS)], "doc_id long, text string")
+
+    def run():
+        scratch = Scratch(spark, "t")
+        found = simhash.near_duplicates(df.selectExpr("monotonically_increasing_id() AS _row", "doc_id", "text"), scratch=scratch)
+        return sorted((r._row, r.fp, r.first.doc_id) for r in found.collect()), scratch.count
+
+    got, written = run()
+    assert len({x[1] for x in got}) > len({x[2] for x in got})
+    assert written == 4  # fingerprints, distinct ones, links, components; a round adds two, each a file for every shuffle partition
+    monkeypatch.setattr(simhash, "LINKS_AT_ONCE", 0)
+    assert run()[0] == got

@@ -26,6 +26,8 @@ from weftline.llm.scratch import Scratch, boxed, ship, unboxed, with_row_id
 BITS, RADIUS = 64, 2
 #: Fingerprints in a bucket above which it is dealt once more.
 LARGE_BUCKET = 8192
+#: Links between distinct fingerprints that one task takes at once; more of them are contracted in rounds.
+LINKS_AT_ONCE = 1 << 19
 
 
 def masks() -> list[int]:
@@ -175,7 +177,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", shingle: int = 3,
     prints = scratch.keep(documents.select("_row", F.col("doc_id").cast("long"), text).mapInArrow(_fingerprints(shingle), "_row long, doc_id long, fp long"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
     classes = scratch.keep(prints.groupBy("fp").agg(F.min(order).alias("first")))
-    parts_ = connected_components(link_fingerprints(classes.select("fp"), scratch), scratch)
+    parts_ = connected_components(link_fingerprints(classes.select("fp"), scratch), scratch, LINKS_AT_ONCE)
     named = classes.join(parts_.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     firsts = named.groupBy("component").agg(F.min("first").alias("_least"))
     classes = named.join(firsts, "component").select("fp", "component", F.col("_least").alias("first"))
