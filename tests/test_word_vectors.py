@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators import embeddings
 from weftline.operators.embeddings import FAR, n_similarity, transport, word_movers_distance
 from weftline.sinks import write_json
 
@@ -33,6 +34,52 @@ def test_pairs_of_word_lists(spark):
     assert n_similarity(pairs.limit(0), vectors).count() == word_movers_distance(pairs.limit(0), vectors).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_word_lists_in_small_batches(spark, monkeypatch, most):
+    """Pairs over many batches, words that repeat, unknown words and null components; vectors broadcast or joined."""
+    monkeypatch.setattr(embeddings, "VECTOR_BYTES", most)
+    rng = np.random.default_rng(7)
+    known = {f"w{i}": [float(x) for x in rng.normal(size=3)] for i in range(12)}
+    known["w3"][1] = None
+    vectors = spark.createDataFrame(list(known.items()), "word string, vector array<double>")
+    draw = lambda: [f"w{i}" for i in rng.integers(0, 16, rng.integers(0, 9))]
+    rows = [(i, draw(), draw()) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "pair_id long, a array<string>, b array<string>").repartition(3, "pair_id")
+    near = n_similarity(pairs, vectors)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = [tuple(r) for r in near.collect()]
+        far = {r.pair_id: r.distance for r in word_movers_distance(pairs, vectors.filter("word <> 'w3'")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(i for i, _ in got) == sorted(far) == list(range(60))
+
+    def mean(side):
+        at = np.array([known[w] for w in side if w in known], float)
+        return np.nanmean(at, axis=0) if len(at) and not np.isnan(at).all(axis=0).any() else None
+
+    for i, x in got:
+        a, b = mean(rows[i][1]), mean(rows[i][2])
+        if a is not None and b is not None:
+            assert abs(x - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-9
+    for i, a, b in rows:
+        a, b = ([w for w in s if w in known and w != "w3"] for s in (a, b))
+        want = FAR
+        if a and b:
+            (p, n), (q, m) = (np.unique(s, return_counts=True) for s in (a, b))
+            want = transport(n / n.sum(), m / m.sum(), np.array([[np.linalg.norm(np.subtract(known[u], known[v])) for v in q] for u in p]))
+        assert abs(far[i] - want) < 1e-9
+
+
+@pytest.mark.parametrize("measure", [n_similarity, word_movers_distance])
+def test_vectors_of_few_words_do_not_move(spark, measure):
+    """Neither vectors nor words are dealt anew once the pairs are."""
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, vector array<double>")
+    pairs = spark.createDataFrame([(1, ["a"], ["b"]), (2, ["b"], ["b"])], "pair_id long, a array<string>, b array<string>")
+    plan = measure(pairs, vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_stop_words_and_lemmas(spark):
     df = spark.createDataFrame([(["The", "cats", "ran", "the"],), ([],), (None,)], "w array<string>")
     assert [r[0] for r in df.select(T.without(F.col("w"), ["the", "The"])).collect()] == [["cats", "ran"], [], None]

@@ -235,8 +235,8 @@ def _vectors(spark, sf_dir):
 
 def _word_pairs(spark, sf_dir):
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    named = j.select(F.col("o_custkey").alias("pair_id"), F.concat(F.lit("w"), "l_partkey").alias("a"), F.concat(F.lit("w"), F.col("l_suppkey") * 7).alias("b"))
-    return named.groupBy("pair_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    keys = j.groupBy(F.col("o_custkey").alias("pair_id")).agg(F.collect_list("l_partkey").alias("a"), F.collect_list(F.col("l_suppkey") * 7).alias("b"))
+    return keys.select("pair_id", *[F.transform(side, lambda k: F.concat(F.lit("w"), k.cast("string"))).alias(side) for side in "ab"])
 
 
 def _mean_sql(side: str) -> str:
