@@ -116,6 +116,8 @@ def n_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> float:
     """Least cost of moving all supply to the demand (equal sums), by shortest augmenting paths."""
     n, m = cost.shape
+    if min(n, m) == 1:  # there is one way only
+        return float((supply[:, None] * demand[None] / supply.sum() * cost).sum())
     left, need, flow, total = supply.astype(float), demand.astype(float), np.zeros((n, m)), 0.0
     price_from, price_to = np.zeros(n), np.zeros(m)
     tiny = 1e-12 * max(1.0, left.sum())
