@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from weftline.functions.text import smoothed
 
+#: Pairs of rows that a task holds at a time.
+PAIRS = 1 << 19
+
 
 def ratio_features(stats: DataFrame, prefix: str = "") -> DataFrame:
     """Click-through rates of statistics as made by click_stats; a ratio with nothing below is null."""
@@ -69,6 +76,95 @@ def mse(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(prediction) - F.col(truth), F.lit(2.0))).alias("mse"))
 
 
+def _slopes(group: str, label: str, score: str, most: float, absolute: bool, top: int | None):
+    """Batches sorted by group, falling score and item to the same with grad, hess and whether a row is in a pair."""
+    at_once = PAIRS
+
+    def of_groups(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        n = rows.num_rows
+        sizes = np.diff([*starts, n])
+        first = np.repeat(starts, sizes)
+        place = np.arange(n) - first
+        s, y = (rows.column(c).combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (score, label))
+        gain = 2.0**y - 1
+        best = np.nan_to_num(gain[np.lexsort((-y, first))])
+        if top is None:
+            ideal, weight = np.add.reduceat(best / np.log2(place + 2.0), starts), 1 / np.log2(place + 2.0)
+        else:
+            ideal = np.add.reduceat(np.where(place < top, best / np.log(place + 2.0), 0.0), starts)
+            ideal[ideal == 0] = 1.0
+            weight = np.where(place < top, 1 / np.log2(place + 2.0), 0.0)
+        ideal = np.repeat(ideal, sizes)
+        grad, hess, pairs = np.zeros(n), np.zeros(n), np.zeros(n)
+        # each row with those below it in its group; with ``top`` only rows of the first places
+        below = first + np.repeat(sizes, sizes) - np.arange(n) - 1
+        if top is not None:
+            below[place >= top] = 0
+        upto, at = np.cumsum(below), 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, "right")))
+            count = below[at:end]
+            i = np.repeat(np.arange(at, end), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            some = (y[i] > y[j]) | (y[i] < y[j])
+            i, j = i[some], j[some]
+            if len(i):
+                sign = np.where(y[i] > y[j], 1.0, -1.0)
+                apart = (s[i] - s[j]) * sign
+                gap = np.minimum(np.abs(apart), most) if absolute else np.clip(apart, -most, most)
+                rho = 1 / (1 + np.exp(np.where(np.isnan(gap), most, gap)))
+                delta = np.abs((gain[i] - gain[j]) * (weight[i] - weight[j])) / ideal[i]
+                pull, bend = sign * rho * delta, rho * (1 - rho) * delta
+                last = int(j.max()) + 1
+                for rows_of, way in ((i, 1.0), (j, -1.0)):
+                    grad[at:last] += np.bincount(rows_of - at, way * pull, last - at)
+                    hess[at:last] += np.bincount(rows_of - at, bend, last - at)
+                    pairs[at:last] += np.bincount(rows_of - at, minlength=last - at)
+            at = end
+        made = [pa.array(grad), pa.array(hess), pa.array(pairs > 0)]
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in rows.columns), *made], [*rows.column_names, "grad", "hess", "_in"])
+
+    def work(batches):
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(group)
+            edge = other(key.slice(1), key.slice(0, len(key) - 1)) if len(key) > 1 else np.zeros(0, bool)
+            begins = held and other(key[:1], last)[0]
+            cuts = np.flatnonzero(edge) + 1
+            if begins:
+                cuts = np.concatenate([[0], cuts])
+            last = key[-1:]
+            if len(cuts):
+                whole = pa.Table.from_batches([*(b for b, _ in held), batch.slice(0, int(cuts[-1]))])
+                before = sum(b.num_rows for b, _ in held)
+                starts = np.concatenate([*(st + sum(b.num_rows for b, _ in held[:k]) for k, (_, st) in enumerate(held)), ([] if held else [0]), before + cuts[:-1]]).astype(int)
+                yield of_groups(whole, starts)
+                held = [(batch.slice(int(cuts[-1])), np.zeros(1, int))]
+            else:
+                held.append((batch, np.zeros(0 if held else 1, int)))
+        if held:
+            yield of_groups(pa.Table.from_batches([b for b, _ in held]), np.zeros(1, int))
+
+    def other(a: pa.Array, b: pa.Array) -> np.ndarray:
+        """Where groups differ; a row without a group is alone."""
+        return pc.fill_null(pc.not_equal(a, b), True).to_numpy(zero_copy_only=False)
+
+    return work
+
+
+def with_slopes(df: DataFrame, group: str, item: str, score: str, label: str, most: float = 50.0, absolute: bool = False, top: int | None = None) -> DataFrame:
+    """``df`` plus grad, hess (0 without a pair) and _in, whether a row is in a pair; see ``lambda_gradients``.
+
+    Rows are dealt and sorted by group once. A group's rows are one task's work, but its pairs come ``PAIRS`` at a time.
+    """
+    # rows without a group are in no pair and are dealt by item
+    dealt = df.repartition(F.col(group), F.when(F.col(group).isNull(), F.col(item))).sortWithinPartitions(group, F.desc(score), item)
+    made = StructType([*df.schema.fields, StructField("grad", DoubleType()), StructField("hess", DoubleType()), StructField("_in", BooleanType())])
+    return dealt.mapInArrow(_slopes(group, label, score, most, absolute, top), made)
+
+
 def lambda_gradients(df: DataFrame, group: str, item: str, score: str, label: str, most: float = 50.0, absolute: bool = False, top: int | None = None, unit_hessian: bool = False) -> DataFrame:
     """group, item, grad, hess of the pairwise ranking loss weighted by the change of normalised gain.
 
@@ -79,32 +175,6 @@ def lambda_gradients(df: DataFrame, group: str, item: str, score: str, label: st
     groups of bounded size. ``unit_hessian``: a row without curvature has 1. Only rows that are in a pair are returned,
     but all of them with ``unit_hessian``.
     """
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("_p", F.row_number().over(w.orderBy(F.desc(score), item))).withColumn("_i", F.row_number().over(w.orderBy(F.desc(label), item)))
-    gain = F.pow(F.lit(2.0), F.col(label)) - 1
-    if top is None:
-        ideal, weight = F.sum(gain / F.log2(F.col("_i") + 1.0)).over(w), 1 / F.log2(F.col("_p") + 1.0)
-    else:
-        ideal = F.sum(F.when(F.col("_i") <= top, gain / F.log(F.col("_i") + 1.0)).otherwise(0.0)).over(w)
-        ideal = F.when(ideal == 0, F.lit(1.0)).otherwise(ideal)
-        weight = F.when(F.col("_p") <= top, 1 / F.log2(F.col("_p") + 1.0)).otherwise(0.0)
-    ranked = ranked.withColumn("_g", gain).withColumn("_ideal", ideal).withColumn("_w", weight)
-    side = lambda s: ranked.select(group, *[F.col(c).alias(f"{s}{c}") for c in (item, score, label, "_p", "_g", "_ideal", "_w")])
-    if top is None:
-        pairs = side("a").join(side("b"), group).filter(F.col(f"a{label}") > F.col(f"b{label}"))
-    else:  # b is one of the first places; a pair of two of them is taken once
-        pairs = side("a").join(side("b").filter(F.col("b_p") <= top), group).filter(F.col(f"a{label}") != F.col(f"b{label}"))
-        pairs = pairs.filter((F.col("a_p") > top) | (F.col("a_p") < F.col("b_p")))
-    sign = F.when(F.col(f"a{label}") > F.col(f"b{label}"), 1.0).otherwise(-1.0)
-    apart = (F.col(f"a{score}") - F.col(f"b{score}")) * sign
-    gap = F.least(F.abs(apart), F.lit(most)) if absolute else F.greatest(F.least(apart, F.lit(most)), F.lit(-most))
-    rho = 1 / (1 + F.exp(gap))
-    delta = F.abs((F.col("a_g") - F.col("b_g")) * (F.col("a_w") - F.col("b_w"))) / F.col("a_ideal")
-    scored = pairs.withColumn("_l", sign * rho * delta).withColumn("_h", rho * (1 - rho) * delta)
-    up = scored.select(group, F.col(f"a{item}").alias(item), F.col("_l").alias("grad"), F.col("_h").alias("hess"))
-    down = scored.select(group, F.col(f"b{item}").alias(item), (-F.col("_l")).alias("grad"), F.col("_h").alias("hess"))
-    both = up.unionByName(down)
-    if unit_hessian:
-        both = both.unionByName(df.select(group, item, F.lit(0.0).alias("grad"), F.lit(0.0).alias("hess")))
-    sums = both.groupBy(group, item).agg(F.sum("grad").alias("grad"), F.sum("hess").alias("hess"))
+    found = with_slopes(df.select(group, item, score, label), group, item, score, label, most, absolute, top)
+    sums = (found if unit_hessian else found.filter("_in")).groupBy(group, item).agg(F.sum("grad").alias("grad"), F.sum("hess").alias("hess"))
     return sums.withColumn("hess", F.when(F.col("hess") == 0, F.lit(1.0)).otherwise(F.col("hess"))) if unit_hessian else sums
