@@ -250,6 +250,50 @@ def test_lambda_gradients_of_first_places(spark):
             assert np.allclose(got[q, a[1]], (grad, hess or 1))
 
 
+@pytest.mark.parametrize("top", [None, 2])
+def test_lambda_gradients_of_groups_over_many_batches(spark, monkeypatch, top):
+    """Groups in several batches, pairs in several blocks, rows without a group; labels and scores that repeat."""
+    monkeypatch.setattr(ranking, "PAIRS", 7)
+    rng = np.random.default_rng(6)
+    rows = [(q, f"d{d}", float(rng.integers(0, 5)) / 2, int(rng.integers(0, 3))) for q, n in enumerate([1, 17, 2, 9, 1, 30]) for d in range(n)]
+    df = spark.createDataFrame([*rows, (None, "x", 1.0, 1), (None, "y", 2.0, 0)], "q long, d string, s double, y int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {(r.q, r.d): (r.grad, r.hess) for r in ranking.lambda_gradients(df, "q", "d", "s", "y", top=top).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for q in range(6):
+        docs = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        n, log = top or len(docs), np.log if top else np.log2
+        ideal = sum((2**y - 1) / log(i + 2) for i, y in enumerate(sorted((r[3] for r in docs), reverse=True)[:n]))
+        weight = [1 / np.log2(p + 2) if p < n else 0 for p in range(len(docs))]
+        for i, a in enumerate(docs):
+            for j, b in enumerate(docs):
+                if a[3] > b[3] and (i < n or j < n):
+                    rho, delta = 1 / (1 + np.exp(a[2] - b[2])), abs((2.0 ** a[3] - 2.0 ** b[3]) * (weight[i] - weight[j])) / ideal
+                    for d, way in ((a[1], 1), (b[1], -1)):
+                        g, h = want.get((q, d), (0.0, 0.0))
+                        want[q, d] = g + way * rho * delta, h + rho * (1 - rho) * delta
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_slopes_are_dealt_once(spark):
+    """One exchange for the groups, one for the sums; no join of a group with itself."""
+    df = spark.createDataFrame([(1, 1, 0.5, 1), (1, 2, 0.2, 0)], "q long, d long, s double, y int")
+    plan = ranking.lambda_gradients(df, "q", "d", "s", "y")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_a_round_of_ranking_writes_its_rows_once(spark, monkeypatch):
+    """The levels of a tree read slopes that are made once."""
+    written = []
+    monkeypatch.setattr(learning, "cut", lambda df: written.append(df.columns) or df.localCheckpoint())
+    df = spark.createDataFrame([(q, d, float(d * q % 5), d % 3) for q in range(5) for d in range(6)], "q long, d long, f double, y int")
+    learning.boost(df, ["f"], "y", "lambda", rounds=2, depth=2, group="q", item="d", edges={"f": [1.0, 2.0]})
+    assert len(written) == 2 and all("grad" in c for c in written)
+
+
 def test_parts_of_a_table(spark):
     from weftline.operators import splits
 
