@@ -197,6 +197,24 @@ def test_ials_equals_the_dense_model(spark):
     assert all(abs(r.prediction - want[r.user, r.item]) < 1e-8 for r in got)
 
 
+def test_a_series_of_factorisations_shares_its_passes(spark):
+    """Each model as if made alone; ratings are read once, whatever the number of models and rounds."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for pdf in frames:
+            read.add(len(pdf))
+            yield pdf
+
+    r = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(8) for i in range(6) if (u + i) % 3], "user long, item long, rating double")
+    starts = [lambda key, i: F.sin(key * 1.7 + i), lambda key, i: F.cos(key * 0.9 + i)]
+    both = {(x.user, x.item): x.predictions for x in learning.ials_series(r.mapInPandas(seen, r.schema), starts, rank=2, rounds=2).collect()}
+    assert read.value == r.count() == len(both)
+    for n, start in enumerate(starts):
+        alone = learning.ials(r, rank=2, rounds=2, start=start).collect()
+        assert all(abs(x.prediction - both[x.user, x.item][n]) < 1e-9 for x in alone)
+
+
 def test_series_of_boosters(spark):
     """Growing depth and falling rate; the model that one goes on from stays as it is. Pruning, importance, step search."""
     rng = np.random.default_rng(3)
