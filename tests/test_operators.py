@@ -312,6 +312,28 @@ def test_a_round_of_ranking_writes_its_rows_once(spark, monkeypatch):
     assert len(written) == 2 and all("grad" in c for c in written)
 
 
+def test_relevance_moves_no_counts_for_few_query_words(spark, monkeypatch):
+    """Query words and weights are broadcast whatever the planner guesses of sizes; more words than allowed are joined."""
+    from weftline.operators import text_stats
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b c d"), (3, "x y"), (4, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a b b"), (2, "c x q")], "query_id long, text string")
+    words = F.split(F.lower("text"), " ", -1)
+    found, plans = [], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most in (text_stats.QUERY_WORDS, 2):
+            monkeypatch.setattr(text_stats, "QUERY_WORDS", most)
+            df = text_stats.relevance(docs, queries, "doc_id", words, words)
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            found.append({(r.query_id, r.doc_id): (r.tf_idf, r.bm25) for r in df.collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
+    assert set(found[0]) == set(found[1]) == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)}
+    assert all(np.allclose(found[0][k], found[1][k]) for k in found[0])
+
+
 def test_parts_of_a_table(spark):
     from weftline.operators import splits
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import letters, split_ws
 
+#: Words of all queries, repeats in different queries counted, up to which these are broadcast.
+QUERY_WORDS = 1_000_000
+
 
 def word_count(docs: DataFrame, words: Column, name: str = "cnt") -> DataFrame:
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias(name))
@@ -48,20 +51,22 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str, words: Column, quer
 
     Term frequency is divided by the document's length in both measures. Words without an idf weigh 0. ``queries``
     (query_id, ...) may have any size: their words and the weights, a row per different word, are joined, and broadcast
-    only where their size allows it. Documents are dealt by key before their words are counted,
+    where they are ``QUERY_WORDS`` at most. Documents are dealt by key before their words are counted,
     so that neither counts nor sums per document move again where the words' weights are small enough to broadcast.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(query_words)).alias("word"))
+    few = q.limit(QUERY_WORDS + 1).count() <= QUERY_WORDS
+    here = F.broadcast if few else (lambda df: df)  # sizes that show only once the other side has moved come too late
     measured = lambda d: d.select(key, F.size(words).alias("length"), words.alias("_words"))
     n = measured(docs.repartition(key))
     stats = measured(docs).agg(F.avg("length").alias("_mean"), F.count("*").alias("_n"))
     wanted = q.select("word").distinct()
-    hits = n.select(key, "length", F.explode("_words").alias("word")).join(wanted, "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
-    weight = hits.groupBy("word").agg(F.count("*").alias("df"))
+    hits = n.select(key, "length", F.explode("_words").alias("word")).join(here(wanted), "word", "left_semi").groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
+    weight = here(hits.groupBy("word").agg(F.count("*").alias("df")))
     mean = F.lit(float(average)) if average else F.col("_mean")
     tf = F.col("tf") / F.col("length")
     scored = (
-        hits.join(weight, "word").crossJoin(F.broadcast(stats)).join(q, "word")
+        hits.join(weight, "word").crossJoin(F.broadcast(stats)).join(here(q), "word")
         .withColumn("_idf", F.log2(F.col("_n") / F.col("df")))
         .withColumn("_tf_idf", tf * F.col("_idf"))
         .withColumn("_bm25", F.col("_idf") * tf * (k + 1) / (tf + k * (1 - b + b * F.col("length") / mean)))
