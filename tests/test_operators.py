@@ -334,6 +334,17 @@ def test_relevance_moves_no_counts_for_few_query_words(spark, monkeypatch):
     assert all(np.allclose(found[0][k], found[1][k]) for k in found[0])
 
 
+def test_large_texts_are_inflated_few_at_a_time(spark):
+    """No Arrow batch of thousands of streams, whose text would be held at once."""
+    from weftline.sources import text as source
+
+    df = spark.range(3).select(F.when(F.col("id") < 2, F.repeat(F.lit("é "), F.col("id").cast("int") * 1000)).alias("t"))
+    back = df.select("t", source.page_html(F.base64(source.deflate(F.col("t")))).alias("u"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert all(r.t == r.u for r in back.collect())
+
+
 def test_parts_of_a_table(spark):
     from weftline.operators import splits
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,21 +59,21 @@ def dense(features: Column, n: int, first: int = 1) -> Column:
 
 
 def deflate(text: Column) -> Column:
-    """Text to zlib streams; null stays null."""
+    """Text to zlib streams; null stays null. Few rows at a time, since those of an Arrow batch may be of any size."""
 
-    def encode(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: None if t is None else zlib.compress(t.encode()))
+    def encode(t: str | None) -> bytes | None:
+        return None if t is None else zlib.compress(t.encode())
 
-    return F.pandas_udf(encode, "binary")(text)
+    return F.udf(encode, "binary", useArrow=False)(text)
 
 
 def inflate(raw: Column) -> Column:
-    """zlib streams to text; null stays null."""
+    """zlib streams to text; null stays null. Few rows at a time: a batch of small streams may hold very much text."""
 
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else zlib.decompress(b).decode("utf-8", "replace"))
+    def decode(b: bytes | None) -> str | None:
+        return None if b is None else zlib.decompress(b).decode("utf-8", "replace")
 
-    return F.pandas_udf(decode, "string")(raw)
+    return F.udf(decode, "string", useArrow=False)(raw)
 
 
 def page_html(encoded: Column) -> Column:
